@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, substring_dedup
+from . import fingerprints, html_extract, language_id, line_dedup, media, mixing, near_dedup, packing, sharding, substring_dedup
+from .common import durable
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,15 +23,54 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents; every fiftieth id also searches all others: n_near, within the radius."""
+    prints = durable(fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")), "prints")
+    asked = prints.where("doc_id % 50 = 0")
+    pairs = fingerprints.within_radius(asked, prints)
+    sizes = prints.groupBy(F.col("bits").alias("found")).agg(F.count("*").alias("n"))
+    near = pairs.join(sizes, "found").groupBy(F.col("query").alias("bits")).agg((F.sum("n") - 1).alias("n_near"))
+    counted = prints.join(near, "bits", "left")
+    return counted.select(*[c for c in prints.columns if c != "bits"], F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"))
+
+
+def op2_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = durable(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+def op7_html_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -40,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_chunk_dedup": line_dedup.ORACLE.replace("{text}", "sha256(text) AS kept_sha256")}

@@ -10,10 +10,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..core import any_of, numeric_columns
+from ..core import any_of, numeric_columns, sample_exact
 
 
 def _imputed(c: str, mean: float | None) -> Column:
@@ -68,3 +71,130 @@ def jaccard(df: DataFrame, flags: list[str]) -> DataFrame:
 def votes(df: DataFrame, flags: list[str]) -> DataFrame:
     """How many rows were flagged by 0, 1, 2 ... methods."""
     return df.groupBy(reduce(lambda a, b: a + b, [F.col(f).cast("int") for f in flags]).alias("votes")).agg(F.count("*").alias("n_rows"))
+
+
+def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean-imputed columns as population z-scores (0 for a constant column)."""
+    fit = fit_zscore(df, columns)
+    return df.withColumns({c: (_imputed(c, fit[c][0]) - F.lit(fit[c][0])) / F.lit(fit[c][1] or 1.0) for c in columns})
+
+
+def nearest(df: DataFrame, key: str, columns: list[str], k: int, other: DataFrame | None = None, block_rows: int = 2048) -> DataFrame:
+    """Exact k nearest rows: (key, rank, mate, dist), ties (squares equal to 9 places) by mate.
+
+    Blocks of ``other`` (at most ``block_rows``) meet each batch of ``df``, keep their k
+    best, and the blocks' bests are ranked by key. Work is quadratic as exact search in
+    any dimension is; memory is a block by a batch.
+    """
+    others = other if other is not None else df
+    n = others.count()
+    blocks = max(1, -(-n // block_rows))
+    rows = others.select(F.col(key).alias("_mate"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_y"))
+    packed = rows.withColumn("_block", F.pmod(F.xxhash64("_mate"), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct("_mate", "_y")).alias("_rows"))
+    left = df.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")).withColumn("_cell", F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(blocks)).cast("int")).groupBy("_cell").agg(F.collect_list(F.struct("_key", "_x")).alias("_left"))
+
+    def search(batches):
+        for pdf in batches:
+            for mine, theirs in zip(pdf["_left"], pdf["_rows"]):
+                ids, x = np.array([r["_key"] for r in mine]), np.array([r["_x"] for r in mine])
+                mates, y = np.array([r["_mate"] for r in theirs]), np.array([r["_y"] for r in theirs])
+                by_mate = np.argsort(mates, kind="stable")
+                mates, y = mates[by_mate], y[by_mate]
+                d = np.zeros((len(x), len(y)))
+                for j in range(x.shape[1]):
+                    d += (x[:, j, None] - y[None, :, j]) ** 2
+                d = np.round(d, 9)
+                d[ids[:, None] == mates[None, :]] = np.inf
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(d, top, axis=1)
+                ok = np.isfinite(best)
+                yield pd.DataFrame({"key": np.repeat(ids, ok.sum(axis=1)), "mate": mates[top][ok], "dist": np.sqrt(best[ok])})
+
+    found = left.crossJoin(packed).mapInPandas(search, "key long, mate long, dist double")  # blocks, not rows
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("dist", "mate"))).where(F.col("rank") <= k)
+
+
+def lof(df: DataFrame, key: str, columns: list[str], k: int = 20) -> DataFrame:
+    """(key, lof) of Breunig's local outlier factor; flag above 1.5."""
+    near = nearest(df, key, columns, k)
+    reach = near.groupBy("key").agg(F.max("dist").alias("k_dist"))
+    joined = near.join(reach.select(F.col("key").alias("mate"), "k_dist"), "mate")
+    density = joined.groupBy("key").agg((1 / (F.avg(F.greatest("dist", "k_dist")) + F.lit(1e-10))).alias("lrd"))
+    mates = near.join(density.select(F.col("key").alias("mate"), F.col("lrd").alias("its")), "mate").groupBy("key").agg(F.avg("its").alias("its"))
+    return mates.join(density, "key").select("key", (F.col("its") / F.col("lrd")).alias("lof"))
+
+
+LOF_LIMIT = 1.5
+
+
+def dbscan_outliers(df: DataFrame, key: str, columns: list[str], eps: float = 1.5, min_samples: int = 10) -> DataFrame:
+    """(key, n_near, is_outlier): outliers lie farther than eps from every core row.
+
+    Rows are standardised and dealt into cells of side eps; a row meets the rows of its
+    own and the neighbouring cells only. A row counts itself among its neighbours.
+    """
+    z = standardized(df.select(key, *columns), columns).withColumns({f"_c{i}": F.floor(F.col(c) / F.lit(eps)).cast("long") for i, c in enumerate(columns)})
+    cells = [f"_c{i}" for i in range(len(columns))]
+    around = z.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)], *cells)
+    for c in cells:
+        around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    d2 = sum((F.col(c) - F.col(f"_x{i}")) ** 2 for i, c in enumerate(columns))
+    n = z.join(around, cells).where(d2 <= eps * eps).groupBy(key).agg(F.count("*").alias("n_near"))
+    core = n.where(F.col("n_near") >= min_samples).select(key)
+    cores = around.join(core.withColumnRenamed(key, "_k"), "_k", "left_semi")
+    close = z.join(cores, cells).where(d2 <= eps * eps).select(key).distinct().withColumn("_close", F.lit(True))
+    return z.select(key).join(n, key, "left").join(close, key, "left").select(key, "n_near", F.col("_close").isNull().alias("is_outlier"))
+
+
+def _path(n: float) -> float:
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+
+class IsolationForest:
+    """Random trees over small samples; the score is 2^(-mean depth / expected depth)."""
+
+    def __init__(self, x: np.ndarray, trees: int = 100, psi: int = 256, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        self.psi = max(2, min(psi, len(x)))
+        depth = int(np.ceil(np.log2(self.psi)))
+        self.trees = [self._grow(x[rng.choice(len(x), self.psi, replace=len(x) < self.psi)], 0, depth, rng) for _ in range(trees)]
+
+    def _grow(self, x: np.ndarray, at: int, limit: int, rng):
+        spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else np.array([])
+        if at >= limit or len(x) <= 1 or not len(spread):
+            return at + _path(len(x))
+        c = int(rng.choice(spread))
+        cut = rng.uniform(x[:, c].min(), x[:, c].max())
+        return c, cut, self._grow(x[x[:, c] < cut], at + 1, limit, rng), self._grow(x[x[:, c] >= cut], at + 1, limit, rng)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for tree in self.trees:
+            todo = [(tree, np.arange(len(x)))]
+            while todo:
+                node, rows = todo.pop()
+                if not isinstance(node, tuple):
+                    total[rows] += node
+                elif len(rows):
+                    left = x[rows, node[0]] < node[1]
+                    todo += [(node[2], rows[left]), (node[3], rows[~left])]
+        return 2 ** (-total / len(self.trees) / _path(self.psi))
+
+
+FOREST_SAMPLE = 25_600
+
+
+def iforest(df: DataFrame, keys: list[str], columns: list[str], contamination: float | None = 0.05, trees: int = 100, psi: int = 256) -> DataFrame:
+    """``df`` with iforest_score and iforest_outlier. The forest is grown on a bounded hash sample; every row is scored."""
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    x = [_imputed(c, means[c]).alias(c) for c in columns]
+    sample = sample_exact(df.select(*keys, *x), FOREST_SAMPLE, keys).select(*columns).toPandas().to_numpy(dtype=float)
+    forest = IsolationForest(sample, trees, psi)
+
+    @F.pandas_udf("double")
+    def score(*values: pd.Series) -> pd.Series:
+        return pd.Series(forest.score(np.column_stack([v.to_numpy(dtype=float) for v in values])))
+
+    scored = df.withColumn("iforest_score", score(*x))
+    limit = 0.5 if contamination is None else scored.agg(F.percentile("iforest_score", F.lit(1 - contamination))).first()[0]
+    return scored.withColumn("iforest_outlier", F.col("iforest_score") > F.lit(limit))

@@ -51,7 +51,7 @@ def mutual_information(df: DataFrame, features: list[str], y: str, keys: list[st
     near = F.array_sort(F.filter(F.array(*gaps), lambda g: g.isNotNull()))
     kk = F.least(F.size(near), F.lit(k))
     rows = rows.withColumn("_n", F.count("*").over(W.partitionBy("feature", "_y"))).withColumn("_g", near).withColumn("_k", F.least(kk, F.col("_n") - 1))
-    rows = rows.where("_n > 1").withColumn("_r", F.element_at("_g", F.col("_k").cast("int")) * (1 - 1e-15))
+    rows = rows.where("_n > 1").withColumn("_r", F.element_at("_g", F.col("_k").cast("int")) * (1 - 1e-6))
     # rows within the radius: positions of x - r and x + r among all x of the feature
     marks = rows.select("feature", F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("row"), F.lit(1).alias("side")), F.struct((F.col("x") - F.col("_r")).alias("v"), F.lit(0).alias("row"), F.lit(0).alias("side")), F.struct((F.col("x") + F.col("_r")).alias("v"), F.lit(0).alias("row"), F.lit(2).alias("side")))).alias("m"), "_n", "_k").select("feature", "m.*", "_n", "_k")
     placed = marks.withColumn("_upto", F.sum("row").over(W.partitionBy("feature").orderBy("v", "side").rowsBetween(W.unboundedPreceding, 0)))

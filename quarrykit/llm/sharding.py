@@ -78,7 +78,7 @@ def assign(ranges: dict[int, tuple[int, int]], bounds: list[tuple[int, int]], sh
     """(range, shard, first slot): whole units, the largest first to the emptiest shard."""
     share = sum(b for _, b in ranges.values()) / shards
     groups: dict[object, list[int]] = {}
-    for r in ranges:
+    for r in sorted(ranges):
         groups.setdefault(("text", bounds[r][0]), []).append(r)
     units = []
     for own in groups.values():

@@ -82,7 +82,6 @@ def mix(df: DataFrame, source_col: str = "source", size_col: str = "size", weigh
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
     block = max(LEAST_BLOCK, total // BLOCKS)
     shard_tokens = max(LEAST_SHARD_TOKENS, total // SHARDS)
-    seats = sainte_lague(round(total / block), aims, [MOST_TIMES * -(-s // block) for s in sizes])
     sources = spark.createDataFrame([(x, i, s, a, max(1, -(-s // shard_tokens))) for i, (x, s, a) in enumerate(zip(names, sizes, aims))] or [("", 0, 0, 0.0, 1)], "_source string, _s int, source_size long, target double, _shards long")
     sources = F.broadcast(sources) if len(names) <= 100_000 else sources
     added = ["source_size", "target", "taken", "block", "line_start", "wanted", "n_blocks", "turn", "passes"]
@@ -93,10 +92,14 @@ def mix(df: DataFrame, source_col: str = "source", size_col: str = "size", weigh
     held: dict[int, list[tuple[int, int]]] = {}
     for r in rows.groupBy("_s", "_shard").agg(F.sum(size_col).alias("n")).where("n > 0").collect():
         held.setdefault(r["_s"], []).append((r["_shard"], r["n"]))
+    # targets in blocks of each source's own mean length, as the last block of a shard is shorter
+    own_blocks = {s: sum(-(-n // block) for _, n in own) for s, own in held.items()}
+    asked = [aims[s] * own_blocks[s] / sizes[s] if s in held else 0.0 for s in range(len(names))]
+    seats = sainte_lague(round(sum(asked)), asked, [MOST_TIMES * own_blocks.get(s, 0) for s in range(len(names))])
     for s, own in held.items():
         own.sort()
         n_blocks = [-(-n // block) for _, n in own]
-        for (k, n), q, nb in zip(own, sainte_lague(seats[s], [float(n) for _, n in own], [MOST_TIMES * x for x in n_blocks]), n_blocks):
+        for (k, _), q, nb in zip(own, sainte_lague(seats[s], [float(x) for x in n_blocks], [MOST_TIMES * x for x in n_blocks]), n_blocks):
             turn = (s * 7919 + k * 104_729 + seed * 1_299_709) % nb
             quotas.append((s, k, q // nb, q % nb, nb, turn))
     quota = spark.createDataFrame(quotas or [(0, 0, 0, 0, 1, 0)], "_s int, _shard long, passes long, wanted long, n_blocks long, turn long")

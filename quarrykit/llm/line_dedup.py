@@ -26,25 +26,30 @@ _NO_ID = (1 << 63) - 1
 
 
 def chunks(text: Column) -> Column:
-    """array<struct<first:int, n:int, body:string>>: the chunks of a text, in order."""
+    """array<string>: the chunks of a text, in order.
+
+    Every step takes whole arrays, so the work is linear in the text: each line is led by y
+    where a chunk begins and by x elsewhere, the lines are joined and cut before each y. No
+    line holds a line feed, so only the joints match.
+    """
     lines = F.split(text, "\n", -1)
     hashes = F.transform(lines, lambda x: F.md5(x))
+    before = F.concat(F.array(F.lit("")), F.slice(hashes, 1, F.size(lines) - 1))
+    ends = F.zip_with(before, hashes, lambda p, h: F.substring(F.md5(F.concat(p, h)), -1, 1).isin(*MARKS))
+    begins = F.concat(F.array(F.lit(False)), F.slice(ends, 1, F.size(lines) - 1))
+    joined = F.array_join(F.zip_with(begins, lines, lambda b, x: F.concat(F.when(b, F.lit("y")).otherwise(F.lit("x")), x)), "\n")
+    return F.transform(F.split(F.substr(joined, F.lit(2)), "\ny", -1), lambda c: F.replace(c, F.lit("\nx"), F.lit("\n")))
 
-    def is_last(h: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit(""))
-        return F.when(F.substring(F.md5(F.concat(before, h)), -1, 1).isin(*MARKS), i + 1)
 
-    cuts = F.filter(F.transform(hashes, is_last), lambda i: i.isNotNull() & (i < F.size(lines)))
-    bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.size(lines)))
-    pairs = F.arrays_zip(F.slice(bounds, 1, F.size(bounds) - 1).alias("first"), F.slice(bounds, 2, F.size(bounds) - 1).alias("stop"))
-    return F.transform(pairs, lambda p: F.struct(p["first"].alias("first"), (p["stop"] - p["first"]).alias("n"), F.array_join(F.slice(lines, p["first"] + 1, p["stop"] - p["first"]), "\n").alias("body")))
+def count_lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed (lines), n_chunks, text (what is kept)."""
     docs = documents(df, id_col, text_col)
-    cut = docs.where(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.md5("text").alias("t"), F.posexplode(chunks(F.col("text"))).alias("k", "c"))
-    cut = cut.select("d", "t", "k", "c.n", "c.body").where(F.col("n") >= min_lines)
+    cut = docs.where(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.md5("text").alias("t"), F.posexplode(chunks(F.col("text"))).alias("k", "body"))
+    cut = cut.where(count_lines(F.col("body")) >= min_lines)
     # 1. hashes of chunks that occur twice anywhere
     hashed = cut.select(F.xxhash64("body").alias("h"), "d", "t", "k")
     twice = durable(hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "hashes")
@@ -59,14 +64,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     none = F.array().cast("array<int>")
     whole = both.select("doc_id", "text", F.coalesce("gone", none).alias("gone"), F.when(F.size(F.coalesce("gone", none)) > 0, chunks(F.col("text"))).alias("cs"), "t")
     kept = F.filter(F.col("cs"), lambda c, i: ~F.array_contains("gone", i))
-    removed = F.aggregate(F.filter(F.col("cs"), lambda c, i: F.array_contains("gone", i)), F.lit(0), lambda a, c: a + c["n"])
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    removed = F.aggregate(F.filter(F.col("cs"), lambda c, i: F.array_contains("gone", i)), F.lit(0), lambda a, c: a + count_lines(c))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(count_lines(F.col("text")))
     return whole.select(
         "doc_id",
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.size("gone").cast("long").alias("n_chunks_removed"),
-        F.when(F.col("cs").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n")).alias("text"),
+        F.when(F.col("cs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )
 
 

@@ -7,8 +7,10 @@ is decided on the full shingle sets.
 
 Documents with equal sets are one class and only its smallest id takes part. A bucket
 makes no all-pairs: its members meet one centre, another one in each band. Components of
-the confirmed links are merged, then the other bands' centres are met, and only members
-of a bucket that are still in different components meet each other.
+the confirmed links are merged and the other bands' centres are met. Members of a bucket
+that are then still in different components meet only if they share one of their rarest
+shingles, as all pairs that reach the threshold do (prefix filtering), so a large group
+of copies and what merely resembles it don't make all pairs either.
 
 Defined cases: a null or blank text has an empty set and links with nothing; fewer words
 than the shingle length make one shingle; rows that repeat share a component; a null id
@@ -178,12 +180,41 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def rare_mates(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different ``groups(doc_id, own)`` that share one of their rarest shingles and could reach ``percent``.
+
+    With one order of all shingles, here by how many of these sets hold them, two sets of
+    similarity t share a shingle among the first n - ceil(t * n) + 1 of each.
+    """
+
+    def opened(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.frombuffer(x, np.int64) for x in batch.column("body").to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    rows = sets.mapInArrow(opened, "doc_id long, s array<long>").select("doc_id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "s")))
+    ranked = rows.join(common, "s", "left").groupBy("doc_id", "n").agg(order.alias("ranked"))
+    first = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    heads = ranked.select("doc_id", "n", F.posexplode(first).alias("at", "x")).where("x.held > 1").select("doc_id", "n", "at", F.col("x.s").alias("s")).join(groups, "doc_id")
+    heads = durable(heads, "heads")
+    mixed = heads.groupBy("s").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("s")
+    heads = heads.join(mixed, "s", "left_semi")
+    # the shorter of a pair shares one of fewer first places, and both leave room for the overlap behind their first common one
+    short = heads.where(F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
+    mates = heads.select("s", F.col("doc_id").alias("mate"), F.col("n").alias("size"), F.col("at").alias("place"), F.col("own").alias("its"))
+    overlap = F.ceil(percent * (F.col("n") + F.col("size")) / (100 + percent))
+    fits = (F.col("n") <= F.col("size")) & (F.col("size") * percent <= F.col("n") * 100) & (F.col("at") <= F.col("n") - overlap) & (F.col("place") <= F.col("size") - overlap)
+    near = short.join(mates, "s").where((F.col("own") != F.col("its")) & fits)
+    return _pairs(near, "doc_id", "mate")
+
+
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-9, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links) and kept."""
     docs = documents(arrow_rows(df), id_col, text_col)
     table = durable(describe(docs, shingle, bands, rows), "signatures")
     real = table.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    classes = durable(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     copies = real.select("digest", "doc_id").join(classes.where("n > 1"), "digest").where("doc_id <> rep").select("doc_id").distinct()
     nodes = real.join(copies, "doc_id", "left_anti")
 
@@ -205,10 +236,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, miss: fl
 
     rest = labelled(met.where("n > 2"), label, "doc_id", "own")
     split = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
-    rest = rest.join(split, "key").select("key", "doc_id", "centre", "own")
-    other = rest.select("key", F.col("doc_id").alias("mate"), F.col("own").alias("its"))
-    cross = rest.join(other, "key").where("own < its and doc_id <> centre and mate <> centre")
-    label = components(second.unionByName(check.links(_pairs(cross, "doc_id", "mate"))))
+    contested = durable(rest.join(split, "key", "left_semi").select("doc_id", "own").distinct(), "contested")
+    label = components(second.unionByName(check.links(rare_mates(check.sets(contested.select("doc_id")), contested, percent))))
 
     whole = table.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     label = label.select(F.col("node").alias("rep"), "label")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; long texts make larger batches heavy.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch; long texts make batches of many rows heavy.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: The separators of ``[^\x20\x09-\x0D]+`` as a byte table.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -49,8 +49,9 @@ def parts(spark: SparkSession) -> int:
 
 
 def arrow_rows(df: DataFrame) -> DataFrame:
-    """Bounds the rows of the Arrow batches that Python operators of this session get."""
+    """Bounds the Arrow batches that Python operators of this session get."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

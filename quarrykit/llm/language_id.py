@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_rows, text_bytes
 
-FIT_ROWS = 600
+FIT_ROWS = 300
 DIMS = 4096
 UNKNOWN = "und"
 EPOCHS, PENALTY = 300, 1e-4
@@ -64,14 +64,14 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, float]:
     """A linear SVM by subgradient steps on the mean hinge loss, both classes weighing the same; returns the averaged weights and bias."""
-    y = np.where(positive, 1.0, -1.0)
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
-    w, b, mean_w, mean_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+    y = np.where(positive, 1.0, -1.0).astype(np.float32)
+    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
+    w, b, mean_w, mean_b = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1]), 0.0
     for t in range(1, EPOCHS + 1):
         pull = weight * y * (y * (x @ w + b) < 1)
         rate = 20.0 / (1 + 0.05 * t)
-        w = (1 - rate * PENALTY) * w + rate * (pull @ x)
-        b += 0.1 * rate * pull.sum()
+        w = np.float32(1 - rate * PENALTY) * w + np.float32(rate) * (pull @ x)
+        b += 0.1 * rate * float(pull.sum())
         if 2 * t > EPOCHS:
             mean_w, mean_b = mean_w + w, mean_b + b
     return mean_w / (EPOCHS - EPOCHS // 2), mean_b / (EPOCHS - EPOCHS // 2)
@@ -144,12 +144,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             texts = batch.column("text")
             x = features(texts)
             keep = [i for i, t in enumerate(texts.to_pylist()) if _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([x[i].tobytes() for i in keep], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([x[i].astype(np.float16).tobytes() for i in keep], pa.binary())], names=["lang", "x"])
 
     drawn = arrow_rows(rows).where(draw < rate[F.col("lang")]).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
     drawn.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in drawn], dtype=np.float32).reshape(len(drawn), DIMS)
-    return LanguageModel(x, np.array([r["lang"] for r in drawn], dtype=object))
+    langs = np.array([r["lang"] for r in drawn], dtype=object)
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float16).astype(np.float32).reshape(len(drawn), DIMS)
+    del drawn
+    return LanguageModel(x, langs)
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -15,6 +15,7 @@ other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -27,8 +28,8 @@ from .common import arrow_rows, documents, durable
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words, and runs of letters or signs, whose ids a worker remembers.
+CACHE_WORDS = 500_000
 SALTS = 64
 #: Plan steps that one length and rank block may meet in the join.
 RANK_BLOCK = 64
@@ -110,28 +111,69 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
     return steps, bins
 
 
+#: Words of Latin letters and plain signs only: the tokenizer cuts these at each change between the two.
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[!-&(-/:;=?@\[-`{}~])+")
+_RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
+_TOGETHER = 100
+
+
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer drops white space and no token spans it."""
+    """Token ids of texts, word by word: the tokenizer drops white space and no token spans it.
+
+    Plain words are made of runs whose ids are found many at a time; the token that ends
+    a run is known by its vocabulary entry. All other words are given to the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _learn_runs(self, new: list[str]) -> None:
+        joined = [" ".join(new[i : i + _TOGETHER]) for i in range(0, len(new), _TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(new):
+            raise ValueError("a run has another number of tokens' ends than one")
+        body = ids.tobytes()
+        self.runs.update(zip(new, (body[i:j] for i, j in zip([0, *stops], stops))))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, other = {}, []
+        for w in words:
+            text = w.decode()
+            if _PLAIN.fullmatch(text):
+                plain[w] = _RUN.findall(text.lower())
+            else:
+                other.append((w, text))
+        runs = {r for own in plain.values() for r in own}
+        if new := [r for r in runs if r not in self.runs]:
+            if len(self.runs) + len(new) > CACHE_WORDS:
+                self.runs.clear()
+                new = list(runs)
+            self._learn_runs(new)
+        for w, own in plain.items():
+            self.known[w] = self.runs[own[0]] if len(own) == 1 else b"".join([self.runs[r] for r in own])
+        if other:
+            for (w, _), e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         words = (text or "").encode().split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = [w for w in set(words) if w not in self.known]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordIds] = {}

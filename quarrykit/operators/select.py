@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import SEED, stratified_folds
+from ..core import SEED, sample_exact, stratified_folds
 from ..functions.hypothesis import anova_f
 from .metrics import classification_scores
 
@@ -182,7 +182,7 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, steps: int = 500, seed: int =
     if n < 3:
         return np.zeros((n, 2))
     perplexity = min(perplexity, n - 1)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d = np.array([((x - row) ** 2).sum(-1) for row in x])  # one row at a time: all pairs by features would take hundreds of MB
     p = np.zeros((n, n))
     for i in range(n):
         low, high, beta = 0.0, np.inf, 1.0
@@ -213,15 +213,16 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, steps: int = 500, seed: int =
 
 
 def embed_2d(df: DataFrame, key: str, features: list[str], method: str = "tsne", seed: int = SEED) -> DataFrame:
-    """(key, x, y) of a t-SNE embedding, computed in one bounded task."""
+    """(key, x, y) of a t-SNE embedding of all rows, or of a hash-ordered sample of ``TSNE_ROWS``, in one bounded task."""
     if method != "tsne":
         raise NotImplementedError(f"{method} is not available")
 
     def run(pdf):
+        pdf = pdf.sort_values(key)
         xy = tsne(pdf[features].to_numpy(dtype=float), seed=seed)
         pdf = pdf[[key]].copy()
         pdf["x"], pdf["y"] = xy[:, 0], xy[:, 1]
         return pdf
 
-    bounded = df.select(key, *features).orderBy(key).limit(TSNE_ROWS)
+    bounded = sample_exact(df.select(key, *features), TSNE_ROWS, [key], seed)
     return bounded.groupBy(F.lit("all")).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, x double, y double")

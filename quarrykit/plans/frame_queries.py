@@ -79,7 +79,7 @@ def anomalies(spark, sf):
 
 @register("viz_ssim_curve")
 def ssim_curve(spark, sf):
-    return frames.ssim_frame(bytes_of(spark, sf).where("vec_id < 50"))
+    return frames.ssim_frame(bytes_of(spark, sf))
 
 
 @register("viz_pca_scatter")

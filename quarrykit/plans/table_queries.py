@@ -581,7 +581,7 @@ def pca_scree(spark, sf):
 
 @register("tsne_embedding")
 def tsne_embedding(spark, sf):
-    return select.embed_2d(_vectors(spark, sf).where("vec_id < 200"), "vec_id", _DIMS)
+    return select.embed_2d(_vectors(spark, sf), "vec_id", _DIMS)
 
 
 # -- scores and resampling ------------------------------------------------------------

@@ -214,19 +214,24 @@ def edge_densities(df: DataFrame, keys: list[str], size: int = 128) -> DataFrame
 OPERATIONS = ("flip", "rotate", "crop", "noise", "adjust")
 
 
-def _one(x: np.ndarray, name: str, rng: np.random.Generator) -> np.ndarray:
+#: An operation by name, or a tuple of its name and fixed parameters.
+Step = str | tuple
+
+
+def _one(x: np.ndarray, step: Step, rng: np.random.Generator) -> np.ndarray:
+    name, *given = (step,) if isinstance(step, str) else step
     if name == "flip":
         return rasters.flip(x)
     if name == "rotate":
-        return rasters.rotate(x, float(rng.uniform(-30, 30)))
+        return rasters.rotate(x, *(given or [float(rng.uniform(-30, 30))]))
     if name == "crop":
-        return rasters.crop(x, 0.8, rng)
+        return rasters.crop(x, *(given or [0.8]), rng)
     if name == "noise":
-        return rasters.noise(x, 0, 15, rng)
-    return rasters.adjust(x, float(rng.uniform(0.8, 1.2)), float(rng.uniform(-20, 20)))
+        return rasters.noise(x, *(given or [0, 15]), rng)
+    return rasters.adjust(x, *(given or [float(rng.uniform(0.8, 1.2)), float(rng.uniform(-20, 20))]))
 
 
-def run_pipeline(x: np.ndarray, names: list[str] | tuple[str, ...], seed: int) -> np.ndarray:
+def run_pipeline(x: np.ndarray, names: list[Step] | tuple[Step, ...], seed: int) -> np.ndarray:
     """Operations in order; a seed makes them reproducible."""
     rng = np.random.default_rng(abs(seed))
     for n in names:
@@ -234,7 +239,7 @@ def run_pipeline(x: np.ndarray, names: list[str] | tuple[str, ...], seed: int) -
     return np.ascontiguousarray(x)
 
 
-def _augmented(df: DataFrame, names: tuple[str, ...] | None) -> DataFrame:
+def _augmented(df: DataFrame, names: tuple[Step, ...] | None) -> DataFrame:
     """Rasters after the named operations, or after one to three of all of them chosen by ``_seed``."""
 
     @F.pandas_udf(_OUT)
@@ -249,7 +254,7 @@ def _augmented(df: DataFrame, names: tuple[str, ...] | None) -> DataFrame:
     return df.withColumn("_r", run(*_RASTER, "_seed")).withColumns({k: F.col(f"_r.{k}") for k in _RASTER}).drop("_r")
 
 
-def augment(df: DataFrame, key: str, label: str, target: int | None = None, keep_original: bool = True, names: tuple[str, ...] | None = None, seed: int = SEED) -> DataFrame:
+def augment(df: DataFrame, key: str, label: str, target: int | None = None, keep_original: bool = True, names: tuple[Step, ...] | None = None, seed: int = SEED) -> DataFrame:
     """Classes below ``target`` (the largest by default) are filled up by sources taken in turn; adds copy (0: original)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     high = target or counts.agg(F.max("_n")).first()[0] or 0
@@ -265,9 +270,17 @@ def augment(df: DataFrame, key: str, label: str, target: int | None = None, keep
 LEADS = ("flip", "rotate", "crop", "noise", "adjust")
 SINGLE = [(x,) for x in LEADS]
 THREE = [tuple(x) for x in combinations(LEADS, 3)]
+#: Five steps each: two settings of a leading operation, then the others at fixed settings.
+VARIANTS: dict[str, tuple[Step, ...]] = {
+    **{f"lead_rotate_{v:+}": (("rotate", v), ("adjust", 1.1, 10), ("crop", 0.85), ("noise", 0, 15), "flip") for v in (20, -20)},
+    **{f"lead_crop_{v:.2f}": (("crop", v), ("adjust", 1.1, 10), ("rotate", 10), ("noise", 0, 15), "flip") for v in (0.9, 0.6)},
+    **{f"lead_noise_{v}": (("noise", 0, v), ("adjust", 1.1, 10), ("rotate", 10), ("crop", 0.85), "flip") for v in (10, 30)},
+    **{f"lead_adjust_{a}": (("adjust", a, b), ("rotate", 10), ("crop", 0.85), ("noise", 0, 15), "flip") for a, b in ((1.3, 20), (0.7, -20))},
+}
+PIPELINES: dict[str, tuple[Step, ...]] = {"+".join(x): x for x in SINGLE + THREE} | VARIANTS
 
 
-def augmentation_experiment(df: DataFrame, key: str, label: str, pipelines: list[tuple[str, ...]] = SINGLE, seed: int = SEED) -> DataFrame:
+def augmentation_experiment(df: DataFrame, key: str, label: str, pipelines: dict[str, tuple[Step, ...]] = PIPELINES, seed: int = SEED) -> DataFrame:
     """(pipeline, accuracy, macro_precision, macro_recall, macro_f1) of logistic regression on pixels after each pipeline balanced the training classes."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -278,11 +291,11 @@ def augmentation_experiment(df: DataFrame, key: str, label: str, pipelines: list
     split = stratified_fraction(df, label, 0.2, [key], seed).cache()
     test = split.where("in_sample").select(F.col(label).cast("double").alias("label"), array_to_vector("pixels").alias("features"))
     rows = []
-    for names in pipelines:
+    for name, names in pipelines.items():
         train = augment(split.where("not in_sample").drop("in_sample"), key, label, names=names, seed=seed)
         model = LogisticRegression(maxIter=30, regParam=0.01).fit(train.select(F.col(label).cast("double").alias("label"), array_to_vector("pixels").alias("features")))
         s = classification_scores(model.transform(test), "label", "prediction").first()
-        rows.append(("+".join(names), s["accuracy"], s["macro_precision"], s["macro_recall"], s["macro_f1"]))
+        rows.append((name, s["accuracy"], s["macro_precision"], s["macro_recall"], s["macro_f1"]))
     split.unpersist()
     return df.sparkSession.createDataFrame(rows, "pipeline string, accuracy double, macro_precision double, macro_recall double, macro_f1 double")
 

@@ -126,7 +126,7 @@ def color_spaces(spark, sf):
 def color_scores(spark, sf):
     grey = bytes_of(spark, sf)
     rgb = grey.withColumn("pixels", F.flatten(F.transform("pixels", lambda v: F.array(v, 255 - v, F.abs(v - 128))))).withColumn("channels", F.lit(3))
-    return images.color_space_scores(rgb, "vec_id", "label", spaces=("RGB", "Grayscale"), components=10, size=4)
+    return images.color_space_scores(rgb, "vec_id", "label")
 
 
 @register("img_augmentation")
@@ -136,7 +136,7 @@ def augmentation(spark, sf):
 
 @register("img_augmentation_experiment")
 def augmentation_experiment(spark, sf):
-    return images.augmentation_experiment(bytes_of(spark, sf).where("label < 3"), "vec_id", "label", images.SINGLE[:2])
+    return images.augmentation_experiment(bytes_of(spark, sf), "vec_id", "label")
 
 
 @register("img_pixel_histogram", BYTES + ", b AS (SELECT least(floor((v - 0) / 2.55::double), 99)::bigint AS bin FROM (SELECT unnest(p) AS v FROM e)) SELECT bin, count(*)::bigint AS n, round(count(*)::double / (SELECT count(*) FROM b) / 2.55::double, 9) AS density FROM b GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
@@ -122,11 +124,14 @@ def select(df: DataFrame, features: list[str], y: str, method: str, k: int, keys
 def cross_validated_f1(df: DataFrame, features: list[str], y: str, keys: list[str], folds: int = 5, trees: int = 100, seed: int = SEED) -> float:
     """Mean macro-F1 of random forests over stratified folds."""
     data = assembled(stratified_folds(df, y, folds, keys, seed), features, y).select("fold", "features", "label").cache()
-    out = []
-    for i in range(folds):
+
+    def score(i: int) -> float:
         model = RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed).fit(data.where(F.col("fold") != i))
         scored = model.transform(data.where(F.col("fold") == i))
-        out.append(classification_scores(scored, "label", "prediction").first()["macro_f1"])
+        return classification_scores(scored, "label", "prediction").first()["macro_f1"]
+
+    with ThreadPoolExecutor(folds) as pool:  # the folds' jobs are small and wait for the driver
+        out = list(pool.map(score, range(folds)))
     data.unpersist()
     return float(np.mean(out))
 

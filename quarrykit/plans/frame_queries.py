@@ -85,7 +85,7 @@ def ssim_curve(spark, sf):
 @register("viz_pca_scatter")
 def pca_scatter(spark, sf):
     e = table(spark, sf, "embeddings")
-    return frames.component_frame(e.select("label", *[F.element_at("embedding", i + 1).cast("double").alias(f"d{i}") for i in range(8)]), [f"d{i}" for i in range(8)], "label", 3)
+    return frames.component_frame(e.select("label", *[F.element_at("embedding", i + 1).cast("double").alias(f"d{i}") for i in range(64)]), [f"d{i}" for i in range(64)], "label", 3)
 
 
 def _stream(spark, sf):

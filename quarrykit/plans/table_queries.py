@@ -283,14 +283,14 @@ t AS (SELECT dim, count(*) AS k, sum(n) AS n, sum(s) / sum(n) AS m FROM g GROUP
 SELECT t.dim::bigint AS dim, any_value(t.k)::bigint AS k, any_value(t.n)::bigint AS n, round((sum(g.n * (g.m - t.m) ^ 2) / (any_value(t.k) - 1)) / (sum(g.q - g.s * g.s / g.n) / (any_value(t.n) - any_value(t.k))), 6) AS statistic FROM g JOIN t ON g.dim = t.dim GROUP BY 1"""
 
 
-def _dims(spark, sf, n=8):
+def _dims(spark, sf, n=64):
     e = table(spark, sf, "embeddings")
     return e.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, n)).alias("dim", "x")).withColumn("dim", F.col("dim").cast("long")).withColumn("x", F.col("x").cast("double"))
 
 
 @register("anova_by_class", _ANOVA)
 def anova_by_class(spark, sf):
-    return rounded(hypothesis.anova_f(_dims(spark, sf), "x", "label", by=["dim"]), "statistic")
+    return rounded(hypothesis.anova_f(_dims(spark, sf, 8), "x", "label", by=["dim"]), "statistic")
 
 
 @register("anova_p_values")
@@ -541,12 +541,12 @@ def select_chi2(spark, sf):
     return rounded(select.chi2_scores(table(spark, sf, "lineitem"), _FEATURES, "l_returnflag"), "score", digits=4)
 
 
-def _vectors(spark, sf, n=8):
+def _vectors(spark, sf, n=64):
     e = table(spark, sf, "embeddings")
     return e.select("vec_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f"d{i}") for i in range(n)])
 
 
-_DIMS = [f"d{i}" for i in range(8)]
+_DIMS = [f"d{i}" for i in range(64)]
 
 
 @register("select_mi")
@@ -566,7 +566,7 @@ def select_gbt(spark, sf):
 
 @register("select_rfecv")
 def select_rfecv(spark, sf):
-    return select.rfecv(_vectors(spark, sf).withColumn("y", (F.col("label") > 4).cast("int")), _DIMS[:3], "y", ["vec_id"], folds=3, trees=5)
+    return select.rfecv(_vectors(spark, sf).withColumn("y", (F.col("label") > 4).cast("int")), _DIMS, "y", ["vec_id"])
 
 
 @register("pca_variance")

@@ -1,12 +1,13 @@
 """Main text of web pages: subtrees that recur across a host's pages are its template.
 
 Each page is parsed into elements; an element's subtree has a hash over its tag, class, id,
-text and children. Spark counts on how many pages of a host each subtree occurs (counts
-are summed within a task first), and subtrees on at least ``MIN_PAGES`` pages and
-``MIN_SHARE`` of the host's pages are deleted. Plain prose inside a page's article is
-never taken for template, as an article may be posted twice. What markup itself calls
-menu, header, footer, aside, form, script, style, notice, advert or comment goes as well,
-so hosts with few pages are cleaned too.
+text and children. Spark counts in how many different surroundings on a host each subtree
+occurs: the innermost article or main element around it, else the page. Subtrees in at
+least ``MIN_PAGES`` of them are deleted, also inside articles and however large the host.
+An article posted often is one surrounding and stays; one posted with small edits is told
+by recurring text that makes up over half of it, and loses only link lists. What markup
+itself calls menu, header, footer, aside, form, script, style, notice, advert or comment
+goes as well, so hosts with few pages are cleaned too.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a page
 without article or main element keeps all that is left of its body; a url without a host
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, durable
 
-MIN_PAGES, MIN_SHARE = 5, 0.2
+MIN_PAGES = 5
 #: Template hashes up to which they are broadcast (a few MB), else joined by host.
 BROADCAST_HASHES = 200_000
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -154,9 +155,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _is_template(node: Node, inside: bool, template: set[int]) -> bool:
-    """Inside the article only link lists can be template."""
-    return _signed(node.digest) in template and not (inside and node.link_len * 2 < node.text_len) and node.tag not in _MAIN
+def surroundings(root: Node) -> set[tuple[int, int]]:
+    """Block-level subtrees that hold text, each with the hash of what surrounds it: the innermost article or main, else the page."""
+    out, todo = set(), [(c, root.digest) for c in root.children if isinstance(c, Node)]
+    while todo:
+        node, around = todo.pop()
+        if node.text_len and node.tag not in _INLINE and node.tag not in ("html", "body", "head"):
+            out.add((_signed(node.digest), _signed(around)))
+        around = node.digest if node.tag in _MAIN else around
+        todo += [(c, around) for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def _is_template(node: Node, links_only: bool, template: set[int]) -> bool:
+    """In an article that recurs itself only link lists can be template."""
+    return _signed(node.digest) in template and not (links_only and node.link_len * 2 < node.text_len) and node.tag not in _MAIN
+
+
+def _recurs(top: Node, template: set[int]) -> bool:
+    """Whether recurring prose is over half of the text of an article, besides what goes anyway."""
+    found, left, todo = 0, 0, [top]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            left += len(_SPACE.sub(" ", node).strip())
+        elif node.tag in _DROPPED or node.noise:
+            continue
+        elif _is_template(node, False, template):
+            found += node.text_len - node.link_len
+        else:
+            todo += node.children
+    return found > left
 
 
 def _mains(root: Node) -> list[Node]:
@@ -186,6 +215,7 @@ def main_text(root: Node, template: set[int]) -> str:
             blocks.append(text)
 
     for top in mains or [root]:
+        links_only = bool(mains) and _recurs(top, template)
         todo: list[tuple[Node | str | None, bool]] = [(top, bool(mains))]
         while todo:
             node, inside = todo.pop()
@@ -195,7 +225,7 @@ def main_text(root: Node, template: set[int]) -> str:
                 held.append(node)
             elif node.tag == "br":
                 held.append(" ")
-            elif node.tag in _DROPPED or node.noise or _is_template(node, inside, template):
+            elif node.tag in _DROPPED or node.noise or _is_template(node, links_only, template):
                 if node.tag not in _INLINE:
                     flush()
             elif node.tag == "header" and not inside:
@@ -213,37 +243,41 @@ def main_text(root: Node, template: set[int]) -> str:
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points) and n_template (subtree hashes of its host's template)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), _HOST, 1))
     pages = arrow_rows(df).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
 
     def subtrees(batches):
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
+            found: dict[tuple[str, int], set[int]] = {}
             for where, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for d in {_signed(n.digest) for n in finish(parse(page or ""))}:
-                    counts[where, d] = counts.get((where, d), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "digest", "n"])
-
-    counted = pages.select("host", "html").mapInArrow(subtrees, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    template = durable(counted.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("digest").alias("template")), "template")
+                root = parse(page or "")
+                finish(root)
+                for d, around in surroundings(root):
+                    own = found.setdefault((where, d), set())
+                    if len(own) < min_pages:  # that many are enough to tell
+                        own.add(around)
+            rows = [(*k, a) for k, own in found.items() for a in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "digest", "around"])
+
+    met = pages.select("host", "html").mapInArrow(subtrees, "host string, digest long, around long").distinct()
+    counted = met.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    template = durable(counted.groupBy("host").agg(F.collect_list("digest").alias("template")), "template")
     n = template.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
     joined = pages.join(F.broadcast(template) if n <= BROADCAST_HASHES else template, "host", "left")
 
     def text(batches):
         for batch in batches:
-            out, known = [], {}
-            for page, own in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-                key = tuple(own or ())
-                if key not in known:
-                    known[key] = set(key)
+            out, size, known, templates = [], [], {}, batch.column("template")
+            for i, (where, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+                if where not in known:  # a host's list is the same in all its rows
+                    known[where] = set(templates[i].as_py() or ())
                 root = parse(page or "")
                 finish(root)
-                out.append(main_text(root, known[key]))
-            size = [len(x or ()) for x in batch.column("template").to_pylist()]
+                out.append(main_text(root, known[where]))
+                size.append(len(known[where]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(size, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template"])
 
     kind = dict(pages.dtypes)
-    return joined.select("page_id", "url", "html", "template").mapInArrow(text, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, n_template long")
+    return joined.select("page_id", "url", "host", "html", "template").mapInArrow(text, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, n_template long")

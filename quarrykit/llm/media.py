@@ -85,6 +85,17 @@ def decode_png(media: bytes) -> bytes:
     return out.tobytes()
 
 
+def intact(media: bytes) -> bool:
+    """Whether a PNG's chunks follow each other to its end chunk, each with its checksum."""
+    at, kind = 8, b""
+    while at + 12 <= len(media) and kind != b"IEND":
+        n, kind = struct.unpack(">I4s", media[at : at + 8])
+        if at + 12 + n > len(media) or zlib.crc32(media[at + 4 : at + 8 + n]) != struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0]:
+            return False
+        at += 12 + n
+    return media[:8] == _SIGNATURE and kind == b"IEND" and at == len(media)
+
+
 def feature(samples: bytes) -> str:
     """Mean, deviation and entropy of the samples, mean step between neighbours, and a 16-bin histogram hash."""
     x = np.frombuffer(samples, np.uint8)
@@ -212,6 +223,8 @@ class ArchiveReader(DataSourceReader):
                             if len(body) < info.size:
                                 raise tarfile.TruncatedHeaderError("beyond the window")
                             name, following = info.name, at + 512 + -(-info.size // 512) * 512
+                            if not intact(body):
+                                name, body, following = self.member(partition.path, at)
                         except tarfile.TarError:
                             if window:
                                 break  # the window ends inside this member: move it

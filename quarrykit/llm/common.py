@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 #: Rows and bytes of one Arrow batch; long texts make batches of many rows heavy.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: The separators of ``[^\x20\x09-\x0D]+`` as a byte table.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,32 +28,77 @@ LOWER[65:91] += 32
 HASH_BYTES = 2_000_000
 
 
+_LOCAL = re.compile(r"local(\[[^\]]*\])?")
+_OWN_FOLDERS: list[str] = []
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share; a temporary one only in a local session that sets none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quarrykit-")
+        if not _LOCAL.fullmatch(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _OWN_FOLDERS.append(tempfile.mkdtemp(prefix="quarrykit-"))
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[-1], ignore_errors=True)
+        folder = "file://" + _OWN_FOLDERS[-1]
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quarrykit/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarrykit/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def durable(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: its lineage ends there."""
+    """``df`` written as a table in the shared folder and read back: its lineage ends there.
+
+    The table stays until ``discard`` or ``clean_up``, as results are lazy and read it.
+    """
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_at)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes all tables and archives that this process wrote; for the end of a job, when no result is read any more."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def trimmed():
+    """Around a task's batches in a Python worker: what it freed goes back to the system, as workers outlive tasks."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
 def arrow_rows(df: DataFrame) -> DataFrame:
     """Bounds the Arrow batches that Python operators of this session get."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

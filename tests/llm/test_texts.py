@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrykit.llm import fingerprints, language_id, line_dedup, media, near_dedup, packing, queries, substring_dedup
@@ -113,10 +114,55 @@ def test_plan_equals_best_fit_decreasing():
         assert sum(n for _, _, n, _, _ in steps) == len(sizes)
 
 
-def test_tokenizer_words_equal_whole_texts(rows):
-    own = packing.encoder(queries.tokenizer_path())
-    for text in [r[1] or "" for r in rows] + ["it's <|startoftext|>x", "á é", "½x ¾", "a×b÷c", "re're 'S"]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+ODD = ["it's <|startoftext|>x", "á é", "½x ¾", "a×b÷c", "re're 'S", "", "  lead", "trail \n", "ÿŸß ẞ|", "e\u0301x", "x\x1cy\x85z", "a\x00b", "ª²³µº 12ab3.4", "\u00a0x\u2003y", "C\u0303Ã"]
+
+
+def random_texts(n=300):
+    rng = np.random.default_rng(8)
+    letters = list("abcXYZÀßÿ×÷'<|>.,;0189 \n\té\u0301\u200dΩ中") + [" "] * 8
+    return ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(n)]
+
+
+def same_ids(own, texts):
+    ids, lens = own.encode_column(pa.array(texts, pa.string()))
+    ends = np.cumsum(lens)
+    for t, a, b in zip(texts, ends - lens, ends):
+        assert ids[a:b].tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("cache", [300_000, 700])
+def test_tokenizer_words_equal_whole_texts(rows, monkeypatch, cache):
+    monkeypatch.setattr(packing, "CACHE_RUNS", cache)
+    own = packing.WordIds(queries.tokenizer_path())
+    assert own.by_word
+    texts = [r[1] for r in rows] + ODD + random_texts()
+    same_ids(own, texts)
+    for t in texts:
+        same_ids(own, [t])
+    same_ids(own, [])
+
+
+def test_other_tokenizers_get_whole_texts():
+    own = packing.WordIds(queries.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k"))
+    assert not own.by_word
+    same_ids(own, ["two words", None, *ODD])
+
+
+def test_packing_without_broadcast_and_with_salts(docs, monkeypatch):
+    """Long plans are joined by shuffle and long lists of one length are cut; the packing stays whole."""
+    monkeypatch.setattr(packing, "BROADCAST_STEPS", 0)
+    monkeypatch.setattr(packing, "PLAN_COPIES", 3)
+    monkeypatch.setattr(packing, "LEAST_SALTS", 1)
+    monkeypatch.setattr(packing, "SALT_ROWS", 20)
+    pieces = packing.token_pieces(docs.select("doc_id", "text"), queries.tokenizer_path(), 64, digest=True).cache()
+    out = packing.pack(pieces, 64).collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in out) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pieces.collect())
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 64
 
 
 def plain_fingerprint_rows(rows):
@@ -216,6 +262,18 @@ def test_line_dedup_equals_plain(spark, plain):
     assert sum(v[1] for v in want.values()) > 10 and want[501][1] > 0
 
 
+@pytest.mark.parametrize("heavy", [1, 7])
+def test_line_dedup_of_hot_chunks(spark, monkeypatch, heavy):
+    """A chunk that a third of all rows hold is dealt to several tasks and still removed everywhere but once."""
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    shared = "\n".join(f"shared line {i}" for i in range(30))
+    rows = [(i, f"own {i}\n{shared}\nend {i}" if i % 3 == 0 else f"own {i}\nother {i}", None, None) for i in range(120)]
+    first = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows, 7)).collect()}
+    monkeypatch.setattr(line_dedup, "HEAVY", 10**6)
+    assert first == {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert first[0] == 0 and all(first[i] > 10 for i in range(3, 120, 3)) and not any(first[i] for i in range(1, 120, 3))
+
+
 def test_line_dedup_gaps(docs, rows):
     out = line_dedup.dedup_lines(docs).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)

@@ -8,7 +8,8 @@ twice are grouped by their bytes.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line;
 rows equal in id and text are one document; a null id sorts after all others; an empty
-table gives an empty result; other columns are not read. Lines are split at line feeds
+table gives an empty result; other columns are not read, or passed on unchanged whatever
+their names by ``without_repeats``. Lines are split at line feeds
 only and what is kept is not changed.
 """
 
@@ -22,6 +23,10 @@ from .common import documents, durable
 MIN_LINES = 2
 #: Hexadecimal digits that mark a boundary: 4 of 16, chunks of about four lines.
 MARKS = ("0", "1", "2", "3")
+#: Chunks of one hash that one task compares, about, and hashes with more than that at most.
+HEAVY, MOST_HEAVY = 1000, 1_000_000
+#: Repeated hashes that are broadcast (16 MB).
+BROADCAST_HASHES = 1_000_000
 _NO_ID = (1 << 63) - 1
 
 
@@ -45,36 +50,71 @@ def count_lines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed (lines), n_chunks, text (what is kept)."""
-    docs = documents(df, id_col, text_col)
-    cut = docs.where(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.md5("text").alias("t"), F.posexplode(chunks(F.col("text"))).alias("k", "body"))
+def _place(row: str) -> list[Column]:
+    """What tells documents apart: the id, and a hash of the text where ids repeat or are missing."""
+    return [F.coalesce(F.col(f"{row}.doc_id"), F.lit(_NO_ID)).alias("d"), F.md5(f"{row}.text").alias("t")]
+
+
+def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(d, t, gone): for each document the numbers of its chunks that occur earlier."""
+    cut = docs.where(F.col("doc.text").isNotNull()).select(*_place("doc"), F.posexplode(chunks(F.col("doc.text"))).alias("k", "body"))
     cut = cut.where(count_lines(F.col("body")) >= min_lines)
     # 1. hashes of chunks that occur twice anywhere
-    hashed = cut.select(F.xxhash64("body").alias("h"), "d", "t", "k")
-    twice = durable(hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "hashes")
-    # 2. the bytes of those chunks only; the first of each keeps its place
-    suspect = durable(cut.withColumn("h", F.xxhash64("body")).join(twice, "h", "left_semi"), "suspects")
+    hashed = cut.select(F.xxhash64("body").alias("h"))
+    twice = durable(hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "hashes")
+    # 2. a hash of many chunks is dealt to several tasks; there are less than MOST_HEAVY such hashes, as they hold `heavy` chunks each
+    total, distinct = twice.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
+    heavy = max(HEAVY, -(-total // MOST_HEAVY))
+    many = twice.where(F.col("times") > heavy).select("h", F.ceil(F.col("times") / heavy).cast("int").alias("cells"))
+    cells = F.coalesce("cells", F.lit(1))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(many), "h", "left").withColumn("cell", F.pmod(F.xxhash64("d", "t", "k"), cells).cast("int")).withColumn("cells", cells)
+
+    # 3. the bytes of those chunks only; the first of each keeps its place
+    bodies = cut.withColumn("h", F.xxhash64("body"))
+    if distinct <= BROADCAST_HASHES:
+        bodies = bodies.join(F.broadcast(twice.select("h")), "h", "left_semi")
+    else:  # chunks are sifted without their bytes, which are then cut from the documents concerned
+        copies = twice.join(F.broadcast(many), "h", "left").select("h", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+        named = dealt(bodies.select("h", "d", "t", "k")).join(copies, ["h", "cell"], "left_semi").groupBy("d", "t").agg(F.collect_set("k").alias("ks"))
+        found = docs.select("doc", *_place("doc")).join(named, ["d", "t"])
+        bodies = found.select("d", "t", "ks", F.posexplode(chunks(F.col("doc.text"))).alias("k", "body")).where(F.array_contains("ks", F.col("k"))).drop("ks").withColumn("h", F.xxhash64("body"))
+    suspect = durable(dealt(bodies).select("h", "cell", "cells", "d", "t", "k", "body"), "suspects")
     place = F.struct("d", "t", "k")
-    owner = suspect.groupBy("h", "body").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    gone = suspect.join(owner, ["h", "body"]).where(place != F.col("first")).groupBy("d", "t").agg(F.collect_set("k").alias("gone"))
-    # 3. back to the documents
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.md5("text").alias("t"))
-    both = keyed.join(gone, ["d", "t"], "left")
+    own = suspect.groupBy("h", "cell", "cells", "body").agg(F.min(place).alias("first"), F.count("*").alias("times"))
+    owner = own.groupBy("h", "cells", "body").agg(F.min("first").alias("first"), F.sum("times").alias("times")).where("times > 1")
+    owner = owner.select("h", "body", "first", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    return suspect.join(owner, ["h", "cell", "body"]).where(place != F.col("first")).groupBy("d", "t").agg(F.collect_set("k").alias("gone"))
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """(row, doc, n_lines, n_removed, n_chunks_removed, kept): ``row`` holds all columns of ``df``, ``kept`` is what is left of the text."""
+    docs = df.select(F.struct("*").alias("row"), F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).alias("doc"))
+    gone = repeated_chunks(docs.select("doc"), min_lines)
+    both = docs.select("row", "doc", *_place("doc")).join(gone, ["d", "t"], "left")
     none = F.array().cast("array<int>")
-    whole = both.select("doc_id", "text", F.coalesce("gone", none).alias("gone"), F.when(F.size(F.coalesce("gone", none)) > 0, chunks(F.col("text"))).alias("cs"), "t")
+    cs = F.when(F.size(F.coalesce("gone", none)) > 0, chunks(F.col("doc.text")))
+    whole = both.select("row", "doc", F.coalesce("gone", none).alias("gone"), cs.alias("cs"), "t")
     kept = F.filter(F.col("cs"), lambda c, i: ~F.array_contains("gone", i))
     removed = F.aggregate(F.filter(F.col("cs"), lambda c, i: F.array_contains("gone", i)), F.lit(0), lambda a, c: a + count_lines(c))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(count_lines(F.col("text")))
+    n_lines = F.when(F.col("doc.text").isNull(), 0).otherwise(count_lines(F.col("doc.text")))
     return whole.select(
-        "doc_id",
+        "row",
+        "doc",
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.size("gone").cast("long").alias("n_chunks_removed"),
-        F.when(F.col("cs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("cs").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )
 
 
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what is kept)."""
+    out = without_repeats(documents(df, id_col, text_col), min_lines=min_lines)
+    return out.select("doc.doc_id", "n_lines", "n_removed", "n_chunks_removed", F.col("kept").alias("text"))
+
+
 #: The same in SQL for the oracle (DuckDB): one row a document.
 ORACLE = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),

@@ -262,14 +262,16 @@ def test_line_dedup_equals_plain(spark, plain):
     assert sum(v[1] for v in want.values()) > 10 and want[501][1] > 0
 
 
-@pytest.mark.parametrize("heavy", [1, 7])
-def test_line_dedup_of_hot_chunks(spark, monkeypatch, heavy):
+@pytest.mark.parametrize("heavy, broadcast", [(1, 10**6), (7, 10**6), (7, 0)])
+def test_line_dedup_of_hot_chunks(spark, monkeypatch, heavy, broadcast):
     """A chunk that a third of all rows hold is dealt to several tasks and still removed everywhere but once."""
     monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", broadcast)
     shared = "\n".join(f"shared line {i}" for i in range(30))
     rows = [(i, f"own {i}\n{shared}\nend {i}" if i % 3 == 0 else f"own {i}\nother {i}", None, None) for i in range(120)]
     first = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows, 7)).collect()}
     monkeypatch.setattr(line_dedup, "HEAVY", 10**6)
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", 10**6)
     assert first == {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert first[0] == 0 and all(first[i] > 10 for i in range(3, 120, 3)) and not any(first[i] for i in range(1, 120, 3))
 

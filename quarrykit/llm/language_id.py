@@ -7,7 +7,7 @@ fitted on the driver on at most about ``FIT_ROWS`` hash-chosen labelled document
 language; everything else covers every row, in one pass without a shuffle.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; where
-nothing is labelled, all are; with one learned language every text with a letter is of it;
+nothing is labelled, all are; more than ``MOST_LANGUAGES`` languages raise; with one learned language every text with a letter is of it;
 an unknown language code is a family of its own; repeated rows and null ids change
 nothing; other columns are passed through by ``predict`` and not read otherwise.
 """
@@ -24,10 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, text_bytes
+from .common import arrow_rows, text_bytes, trimmed
 
 FIT_ROWS = 300
 DIMS = 4096
+#: Bytes of text and number of texts that are turned into vectors at once.
+SLICE_BYTES, SLICE_TEXTS = 1 << 20, 256
+#: Languages at most: their machines grow with the square of their number.
+MOST_LANGUAGES = 500
 UNKNOWN = "und"
 EPOCHS, PENALTY = 300, 1e-4
 # Families of ISO 639-1 codes.
@@ -47,18 +51,32 @@ _KEPT[97:123] = np.arange(97, 123)
 _KEPT[128:] = np.arange(128, 256)
 
 
+def _slots(raw: np.ndarray) -> np.ndarray:
+    """The feature of each run of three bytes."""
+    raw = raw.astype(np.uint32)
+    run = (raw[:-2] * np.uint32(65_536) + raw[1:-1] * np.uint32(256) + raw[2:]) * np.uint32(2_654_435_761)
+    return (run >> np.uint32(20)).astype(np.int64)  # 12 bits: DIMS
+
+
 def features(texts: pa.Array) -> np.ndarray:
-    """A unit vector for each text, all zeros without three bytes in a row."""
+    """A unit vector for each text, all zeros without three bytes in a row; ``SLICE_BYTES`` are at work at once."""
     raw, offsets = text_bytes(pc.utf8_lower(texts))
-    raw = _KEPT[raw].astype(np.uint32)
     out = np.zeros((len(offsets) - 1, DIMS), dtype=np.float32)
-    if len(raw) < 3:
-        return out
-    run = (raw[:-2] * np.uint32(65_536) + raw[1:-1] * np.uint32(256) + raw[2:]) * np.uint32(2_654_435_761)
-    slot = (run >> np.uint32(20)).astype(np.int64)  # 12 bits: DIMS
-    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-        if b - a >= 3:
-            out[i] = np.sqrt(np.bincount(slot[a : b - 2], minlength=DIMS) / (b - 2 - a))
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1)
+        first, stop = int(offsets[i]), int(offsets[j])
+        if stop - first > SLICE_BYTES:  # one long text, in pieces that overlap by two bytes
+            pieces = (raw[k : min(k + SLICE_BYTES + 2, stop)] for k in range(first, stop - 2, SLICE_BYTES))
+            count = sum(np.bincount(_slots(_KEPT[p]), minlength=DIMS) for p in pieces)
+            out[i] = np.sqrt(count / (stop - first - 2))
+        elif stop - first >= 3:
+            slot = _slots(_KEPT[raw[first:stop]])
+            for k in range(i, j):
+                a, b = int(offsets[k]) - first, int(offsets[k + 1]) - first
+                if b - a >= 3:
+                    out[k] = np.sqrt(np.bincount(slot[a : b - 2], minlength=DIMS) / (b - 2 - a))
+        i = j
     return out
 
 
@@ -115,11 +133,19 @@ class LanguageModel:
         self.within = {f: OneVersusOne(x[family == f], langs[family == f]) for f in self.families.classes}
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        x = features(texts)
-        n = len(x)
+        names, scores = [], []
+        for i in range(0, len(texts), SLICE_TEXTS):
+            own = self._some(texts.slice(i, SLICE_TEXTS))
+            names += own[0]
+            scores += own[1]
+        return names, scores
+
+    def _some(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        n = len(texts)
         names, scores = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
         lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
-        if n and self.families.classes:
+        if self.families.classes:
+            x = features(texts)
             family, sure = self.families(x)
             for f, name in enumerate(self.families.classes):
                 pick = np.flatnonzero(lettered & (family == f))
@@ -133,18 +159,22 @@ class LanguageModel:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, seed: int = 5) -> LanguageModel:
     """A model of ``labelled`` rows with a language: about ``fit_rows`` of each, chosen by hash of the id."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return LanguageModel(np.zeros((0, DIMS), np.float32), np.array([], dtype=object))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, float(fit_rows) / n)])
 
     def vectors(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            x = features(texts)
-            keep = [i for i, t in enumerate(texts.to_pylist()) if _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([x[i].astype(np.float16).tobytes() for i in keep], pa.binary())], names=["lang", "x"])
+        with trimmed():
+            for batch in batches:
+                for i in range(0, batch.num_rows, SLICE_TEXTS):
+                    texts, langs = (batch.column(c).slice(i, SLICE_TEXTS) for c in ("text", "lang"))
+                    x = features(texts).astype(np.float16)
+                    keep = [k for k, t in enumerate(texts.to_pylist()) if _LETTER.search(t)]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(keep, pa.int64())), pa.array([x[k].tobytes() for k in keep], pa.binary())], names=["lang", "x"])
 
     drawn = arrow_rows(rows).where(draw < rate[F.col("lang")]).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
     drawn.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -161,9 +191,10 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_co
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: a weight for each dimension and pair
 
     def one(batches):
-        for batch in batches:
-            lang, score = shared.value(batch.column(text_col))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, pred_col, score_col])
+        with trimmed():
+            for batch in batches:
+                lang, score = shared.value(batch.column(text_col))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, pred_col, score_col])
 
     schema = T.StructType([*df.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return df.mapInArrow(one, schema)

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
+
+#: Neighbours that one task joins at most, and nodes with more of them that the driver holds (some 2 MB).
+HUB, MOST_HUBS = 100_000, 50_000
+
+
+def least_neighbour(rows: DataFrame) -> DataFrame:
+    """``rows(u, v)`` with m, the smallest v of their u. Nodes of more than ``HUB`` neighbours are met by broadcast, the others by shuffle."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > HUB).select("u", "m").limit(MOST_HUBS + 1).collect()
+    if not hubs or len(hubs) > MOST_HUBS:  # without hubs, or with so many that none holds much of the rows
+        return rows.join(least.select("u", "m"), "u")
+    few = F.broadcast(rows.sparkSession.createDataFrame(hubs, "u long, m long"))
+    light = rows.join(few.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return light.unionByName(rows.join(few, "u"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,9 +37,11 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = durable(small.distinct(), "links")
+        large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = durable(large, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = least_neighbour(large).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least)
+        after = durable(small.distinct(), "links")
+        discard(edges, large)
+        edges = after
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -3,31 +3,34 @@
 Bands of minimum hashes propose pairs. A pair's signatures are compared batch by batch
 and it is dropped as soon as the posterior chance that its Jaccard similarity reaches
 the threshold falls below ``miss`` (Satuluri & Parthasarathy, BayesLSH). What survives
-is decided on the full shingle sets.
+is decided on the full shingle sets, whose shingles are compared by 64-bit hashes.
 
-Documents with equal sets are one class and only its smallest id takes part. A bucket
+Rows with equal sets are one class, and one row of it, its node, takes part. A bucket
 makes no all-pairs: its members meet one centre, another one in each band. Components of
 the confirmed links are merged and the other bands' centres are met. Members of a bucket
 that are then still in different components meet only if they share one of their rarest
-shingles, as all pairs that reach the threshold do (prefix filtering), so a large group
-of copies and what merely resembles it don't make all pairs either.
+shingles and are near in size, as all pairs that reach the threshold do (prefix and length
+filtering), so a large group of copies and what merely resembles it don't make all pairs
+either; a shingle that many of them share is dealt to several tasks.
 
 Defined cases: a null or blank text has an empty set and links with nothing; fewer words
-than the shingle length make one shingle; rows that repeat share a component; a null id
-takes part in no link, its component is null and it is kept; an empty table gives an
-empty result; other columns are not read.
+than the shingle length make one shingle; rows that share an id but not a set are told
+apart, and a component's id is the smallest of all its rows; a null id takes part in no
+link, its component is null and it is kept; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, arrow_rows, documents, durable, mix64, odd_table, text_bytes
+from .common import LOWER, Words, arrow_rows, discard, documents, durable, mix64, odd_table, text_bytes, trimmed
 from .components import components
 
 BANDS, ROWS = 56, 7
@@ -37,6 +40,8 @@ FIRST_BANDS = 6
 BATCH = 56
 #: Ids up to which the wanted documents are found by a broadcast (8 MB), else by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Mates at one shingle and size step that one task joins, about.
+HEAVY = 2000
 _BLOCK = 512
 
 
@@ -100,31 +105,41 @@ def least_matches(size: int, batch: int, threshold: float, miss: float) -> list[
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def describe(df: DataFrame, length: int, bands: int, rows: int) -> DataFrame:
+    """What stands for each text: doc_id, text_hash, n_shingles, digest of the set, band keys and a byte of each minimum."""
+
     def one(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column("text"), length)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            least = [signature(s, bands * rows) if len(s) else None for s in sets]
-            keys = [band_keys(x, bands, rows) if x is not None else None for x in least]
-            marks = [(x & 0xFF).astype(np.uint8).tobytes() if x is not None else None for x in least]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys", "marks"],
-            )
+        with trimmed():
+            for batch in batches:
+                sizes, digest, keys, marks = [], [], [], []
+                for s in shingle_sets(batch.column("text"), length):
+                    least = signature(s, bands * rows) if len(s) else None
+                    sizes.append(len(s))
+                    digest.append(_digest(s))
+                    keys.append(band_keys(least, bands, rows) if least is not None else None)
+                    marks.append((least & 0xFF).astype(np.uint8).tobytes() if least is not None else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "keys", "marks"],
+                )
 
-    return df.mapInArrow(one, "doc_id long, n_shingles long, digest binary, keys array<long>, marks binary")
+    return df.select("doc_id", F.md5("text").alias("text_hash"), "text").mapInArrow(one, "doc_id long, text_hash string, n_shingles long, digest binary, keys array<long>, marks binary")
 
 
 class Verifier:
-    """Decides pairs (a, b) of one corpus."""
+    """Decides pairs (a, b) of ``nodes(node, doc_id, digest, marks)`` of one corpus."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, length: int, threshold: int, bounds: list[tuple[int, int]]):
         self.docs, self.nodes, self.length, self.threshold, self.bounds = docs, nodes, length, threshold, bounds
 
-    def _joined(self, pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-        a = values.select(F.col("doc_id").alias("a"), F.col(name).alias("left"))
-        b = values.select(F.col("doc_id").alias("b"), F.col(name).alias("right"))
+    @staticmethod
+    def _joined(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        a = values.select(F.col("node").alias("a"), F.col(name).alias("left"))
+        b = values.select(F.col("node").alias("b"), F.col(name).alias("right"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right")
 
     def alive(self, pairs: DataFrame) -> DataFrame:
@@ -132,48 +147,56 @@ class Verifier:
         bounds = self.bounds
 
         def prune(batches):
-            for batch in batches:
-                left, right = ([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-                if not left:
-                    continue
-                left, right = np.stack(left), np.stack(right)
-                live, equal, at = np.arange(len(left)), np.zeros(len(left), dtype=np.int64), 0
-                for n, low in bounds:
-                    equal[live] += (left[live, at:n] == right[live, at:n]).sum(axis=1)
-                    live, at = live[equal[live] >= low], n
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(live)) for c in ("a", "b")], names=["a", "b"])
+            with trimmed():
+                for batch in batches:
+                    left, right = ([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+                    if not left:
+                        continue
+                    left, right = np.stack(left), np.stack(right)
+                    live, equal, at = np.arange(len(left)), np.zeros(len(left), dtype=np.int64), 0
+                    for n, low in bounds:
+                        equal[live] += (left[live, at:n] == right[live, at:n]).sum(axis=1)
+                        live, at = live[equal[live] >= low], n
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(live)) for c in ("a", "b")], names=["a", "b"])
 
         return self._joined(pairs, self.nodes, "marks").mapInArrow(prune, "a long, b long").distinct()
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        wanted = durable(wanted.distinct(), "wanted")
-        ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        """(node, body): the shingles of the ``wanted(node)``, from texts read again by id and told apart by digest."""
+        wanted = durable(wanted.distinct().join(self.nodes.select("node", "doc_id", "digest"), "node"), "wanted")
+        ids = wanted.select("doc_id").distinct()
+        ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
         length = self.length
 
         def one(batches):
-            for batch in batches:
-                found = [s.tobytes() for s in shingle_sets(batch.column("text"), length)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "body"])
+            with trimmed():
+                for batch in batches:
+                    sets = shingle_sets(batch.column("text"), length)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "body"])
 
-        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(one, "doc_id long, body binary")
+        found = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(one, "doc_id long, digest binary, body binary")
+        return found.join(wanted, ["doc_id", "digest"]).select("node", "body")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold, as a written table."""
         pairs = durable(self.alive(pairs), "alive")
-        sets = durable(self.sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))), "sets")
+        sets = durable(self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "sets")
         threshold = self.threshold
 
         def exact(batches):
-            for batch in batches:
-                good = []
-                for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(bool(100 * both >= threshold * (len(x) + len(y) - both)))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            with trimmed():
+                for batch in batches:
+                    good = []
+                    for left, right in zip(batch.column("left"), batch.column("right")):  # a pair at a time, without copies
+                        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        good.append(bool(100 * both >= threshold * (len(x) + len(y) - both)))
+                    keep = pa.array(good, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-        return durable(self._joined(pairs, sets, "body").mapInArrow(exact, "a long, b long").distinct(), "links")
+        found = durable(self._joined(pairs, sets, "body").mapInArrow(exact, "a long, b long").distinct(), "links")
+        discard(pairs, sets)
+        return found
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -181,65 +204,83 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def rare_mates(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different ``groups(doc_id, own)`` that share one of their rarest shingles and could reach ``percent``.
+    """Pairs (a, b) of different ``groups(node, own)`` that share one of their rarest shingles and could reach ``percent``.
 
     With one order of all shingles, here by how many of these sets hold them, two sets of
-    similarity t share a shingle among the first n - ceil(t * n) + 1 of each.
+    similarity t share a shingle among the first n - ceil(t * n) + 1 of each. Sizes are cut
+    into steps of the ratio t, so a set meets those of its own step and the next one only,
+    and the mates at a shingle and step beyond ``HEAVY`` are dealt to several tasks.
     """
 
     def opened(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.frombuffer(x, np.int64) for x in batch.column("body").to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.frombuffer(x, np.int64) for x in batch.column("body").to_pylist()], pa.list_(pa.int64()))], names=["node", "s"])
 
-    rows = sets.mapInArrow(opened, "doc_id long, s array<long>").select("doc_id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    rows = sets.mapInArrow(opened, "node long, s array<long>").select("node", F.size("s").alias("n"), F.explode("s").alias("s"))
     common = rows.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "s")))
-    ranked = rows.join(common, "s", "left").groupBy("doc_id", "n").agg(order.alias("ranked"))
+    ranked = rows.join(common, "s", "left").groupBy("node", "n").agg(order.alias("ranked"))
     first = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    heads = ranked.select("doc_id", "n", F.posexplode(first).alias("at", "x")).where("x.held > 1").select("doc_id", "n", "at", F.col("x.s").alias("s")).join(groups, "doc_id")
-    heads = durable(heads, "heads")
-    mixed = heads.groupBy("s").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("s")
-    heads = heads.join(mixed, "s", "left_semi")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
+    heads = ranked.select("node", "n", F.posexplode(first).alias("at", "x")).where("x.held > 1")
+    heads = durable(heads.select("node", "n", "at", F.col("x.s").alias("s"), step.alias("step")).join(groups, "node"), "heads")
+    # only shingles at which different components meet, and how many stand at each
+    met = heads.groupBy("s", "step").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("held"))
+    mixed = met.groupBy("s").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("s")
+    cells = met.join(mixed, "s", "left_semi").select("s", "step", F.ceil(F.col("held") / HEAVY).cast("int").alias("cells"))
+    cells = durable(cells, "cells")
+    many = cells.where("cells > 1")  # less than 1 / HEAVY of the rows, dealt by broadcast where few
+    many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
     # the shorter of a pair shares one of fewer first places, and both leave room for the overlap behind their first common one
     short = heads.where(F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
-    mates = heads.select("s", F.col("doc_id").alias("mate"), F.col("n").alias("size"), F.col("at").alias("place"), F.col("own").alias("its"))
+    short = short.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1))).join(many, ["s", "step"], "left")
+    short = short.withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
+    mates = heads.select("s", "step", F.col("node").alias("mate"), F.col("n").alias("size"), F.col("at").alias("place"), F.col("own").alias("its")).join(many, ["s", "step"], "left")
+    mates = mates.withColumn("cell", F.pmod(F.xxhash64("mate"), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
+    known = cells.select("s", "step", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    mates = mates.join(known, ["s", "step", "cell"], "left_semi")
     overlap = F.ceil(percent * (F.col("n") + F.col("size")) / (100 + percent))
     fits = (F.col("n") <= F.col("size")) & (F.col("size") * percent <= F.col("n") * 100) & (F.col("at") <= F.col("n") - overlap) & (F.col("place") <= F.col("size") - overlap)
-    near = short.join(mates, "s").where((F.col("own") != F.col("its")) & fits)
-    return _pairs(near, "doc_id", "mate")
+    near = short.join(mates, ["s", "step", "cell"]).where((F.col("own") != F.col("its")) & fits)
+    return _pairs(near, "node", "mate")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-9, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable over links) and kept."""
+    """Per row: doc_id, text_hash (md5), n_shingles, component_id (smallest id reachable over links) and kept."""
     docs = documents(arrow_rows(df), id_col, text_col)
-    table = durable(describe(docs, shingle, bands, rows), "signatures")
+    # a number for each row, fixed by the written table
+    table = durable(describe(docs, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     real = table.where("doc_id is not null and n_shingles > 0")
-    classes = durable(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    copies = real.select("digest", "doc_id").join(classes.where("n > 1"), "digest").where("doc_id <> rep").select("doc_id").distinct()
-    nodes = real.join(copies, "doc_id", "left_anti")
+    classes = durable(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("row", "doc_id")).alias("node"), F.count("*").alias("n")), "classes")
+    copies = real.select("digest", "row").join(classes.where("n > 1"), "digest").where("row <> node.row").select("row")
+    nodes = real.join(copies, "row", "left_anti").withColumnRenamed("row", "node")
 
-    slots = nodes.select("doc_id", F.explode("keys").alias("key"))
-    buckets = slots.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("centre")).where("n > 1")
-    met = durable(slots.join(buckets, "key").select("key", "doc_id", F.col("centre.doc_id").alias("centre"), "n"), "buckets")
+    slots = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = slots.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("centre")).where("n > 1")
+    met = durable(slots.join(buckets, "key").select("key", "node", F.col("centre.node").alias("centre"), "n"), "buckets")
 
-    check = Verifier(docs, nodes.select("doc_id", "marks"), shingle, percent, least_matches(bands * rows, BATCH, percent / 100, miss))
-    first = check.links(_pairs(met.where(F.col("key").bitwiseAND(F.lit(0xFF)) < FIRST_BANDS), "doc_id", "centre"))
+    check = Verifier(docs, nodes.select("node", "doc_id", "digest", "marks"), shingle, percent, least_matches(bands * rows, BATCH, percent / 100, miss))
+    first = check.links(_pairs(met.where(F.col("key").bitwiseAND(F.lit(0xFF)) < FIRST_BANDS), "node", "centre"))
     label = components(first)
 
     def labelled(rows_: DataFrame, label: DataFrame, col: str, name: str) -> DataFrame:
         named = label.select(F.col("node").alias(col), F.col("label").alias("_label"))
         return rows_.join(named, col, "left").withColumn(name, F.coalesce("_label", col)).drop("_label")
 
-    rest = labelled(labelled(met.where(F.col("key").bitwiseAND(F.lit(0xFF)) >= FIRST_BANDS), label, "doc_id", "own"), label, "centre", "other")
-    second = first.unionByName(check.links(_pairs(rest.where("own <> other"), "doc_id", "centre")))
+    rest = labelled(labelled(met.where(F.col("key").bitwiseAND(F.lit(0xFF)) >= FIRST_BANDS), label, "node", "own"), label, "centre", "other")
+    second = first.unionByName(check.links(_pairs(rest.where("own <> other"), "node", "centre")))
     label = durable(components(second), "labels")
 
-    rest = labelled(met.where("n > 2"), label, "doc_id", "own")
+    rest = labelled(met.where("n > 2"), label, "node", "own")
     split = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
-    contested = durable(rest.join(split, "key", "left_semi").select("doc_id", "own").distinct(), "contested")
-    label = components(second.unionByName(check.links(rare_mates(check.sets(contested.select("doc_id")), contested, percent))))
-
-    whole = table.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    label = label.select(F.col("node").alias("rep"), "label")
-    found = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("label", "rep"))
-    return whole.join(label, "rep", "left").select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    contested = durable(rest.join(split, "key", "left_semi").select("node", "own").distinct(), "contested")
+    label = components(second.unionByName(check.links(rare_mates(check.sets(contested.select("node")), contested, percent))))
+
+    # a component is named after the smallest id of its classes
+    named = classes.select("digest", "rep", F.col("node.row").alias("node")).join(label, "node", "left")
+    named = durable(named.select("digest", "rep", F.coalesce("label", "node").alias("label")), "named")
+    names = named.groupBy("label").agg(F.min("rep").alias("component"))
+    whole = table.select("doc_id", "text_hash", "n_shingles", "digest").join(named.join(names, "label").select("digest", "component"), "digest", "left")
+    found = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
+    out = whole.select("doc_id", "text_hash", "n_shingles", found.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -72,7 +72,7 @@ def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,9 +3,9 @@
 import zlib
 from collections import Counter, defaultdict
 
-import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit.llm import html_extract, mixing, sharding
 
@@ -86,12 +86,38 @@ def test_mixing(spark, docs, rows):
 
 
 def test_mixing_blocks_agree_with_positions(spark, docs):
-    from pyspark.sql import functions as F
-
     sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
     out = mixing.mix(sized).withColumn("chosen", F.expr("transform(sequence(0, greatest(size, 1) - 1), i -> i)"))
     out = out.withColumn("n_chosen", F.when(F.col("size") > 0, F.size(F.filter("chosen", lambda i: mixing.is_chosen(F.col("line_start") + i)))).otherwise(0))
     assert out.where("taken <> passes * size + n_chosen").count() == 0
+    parts = mixing.partial_texts(F.col("text"), F.col("size"))
+    kept = mixing.mix(docs.select("doc_id", "source", "text", mixing.word_count("text").alias("size"))).select("text", "size", "taken", "passes", parts.alias("parts")).where("taken > passes * size").collect()
+    assert kept
+    for r in kept:
+        assert sum(len(brute.words(p)) for p in r["parts"]) == r["taken"] - r["passes"] * r["size"]
+        assert all(p in r["text"] and p == p.strip(" \t\n\x0b\x0c\r") for p in r["parts"]) and len(r["parts"]) <= 2
+
+
+def test_mixing_passes_other_columns_through(spark, docs):
+    named = docs.select("doc_id", "source", mixing.word_count("text").alias("size"), *[F.lit(c).alias(c) for c in ("_s", "s", "shard", "_source", "place", "id", "row", "name", "target")])
+    out = mixing.mix(named)
+    assert out.columns == ["doc_id", "source", "size", "_s", "s", "shard", "_source", "place", "id", "row", "name", *mixing.ADDED]
+    assert {tuple(r[c] for c in ("_s", "s", "shard", "_source", "place", "id", "row", "name")) for r in out.collect()} == {("_s", "s", "shard", "_source", "place", "id", "row", "name")}
+
+
+def test_mixing_of_repeated_and_null_ids_spreads(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SHARD_TOKENS", 50)
+    df = spark.createDataFrame([(None if i % 2 else 7, "a", 10, i) for i in range(200)] + [(1000 + i, "b", 10, i) for i in range(100)], "doc_id long, source string, size long, k int")
+    out = mixing.mix(df).collect()
+    assert len({(r["n_blocks"], r["turn"], r["line_start"]) for r in out if r["source"] == "a"}) > 20
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted((r["source"], r["k"], r["taken"]) for r in out) == sorted((r["source"], r["k"], r["taken"]) for r in again)
+
+
+def test_mixing_takes_few_documents_in_part(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3], 40 + i % 50) for i in range(3000)], "doc_id long, source string, size long")
+    out = mixing.mix(df).collect()
+    assert sum(r["taken"] % r["size"] > 0 for r in out) <= 3 * len({(r["source"], r["turn"], r["n_blocks"]) for r in out})
 
 
 def test_mixing_empty(spark):
@@ -142,36 +168,3 @@ def test_html_without_broadcast(spark, monkeypatch):
 
 def test_html_empty(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
-
-
-def test_pipeline_stages(spark, docs, rows):
-    columns = docs.columns
-    seen = docs
-    kept = []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, seen, "").cache()
-        if name != "packing":
-            assert out.columns == columns
-        kept.append((name, out.collect()))
-        seen = out
-    by = dict(kept)
-    lettered = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
-    assert Counter(r["doc_id"] for r in by["language_id"]) == Counter(r[0] for r in lettered)
-    assert Counter(r["doc_id"] for r in by["line_dedup"]) == Counter(r["doc_id"] for r in by["language_id"])
-    assert all(r["n_chars"] == len(r["text"]) for r in by["line_dedup"])
-    pairs = [(r["doc_id"], r["text"]) for r in by["line_dedup"] if r["doc_id"] is not None]
-    want = {d for d, _, _, k in brute.op10(pairs, 5) if k}
-    assert {r["doc_id"] for r in by["near_dedup"] if r["doc_id"] is not None} == want
-    sizes = {r["doc_id"]: len(brute.words(r["text"])) for r in by["near_dedup"]}
-    mixed = Counter()
-    for r in by["mixing"]:
-        mixed[r["doc_id"]] += len(brute.words(r["text"]))
-    assert all(mixed[d] <= 3 * n for d, n in sizes.items() if d is not None)
-    assert sum(r["length"] for r in by["packing"]) > 0
-
-
-def test_pipeline_empty(spark, empty):
-    seen = empty
-    for _, stage in corpus_pipeline.STAGES:
-        seen = stage(spark, seen, "")
-    assert seen.count() == 0

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from quarrykit.llm import components as components_
 from quarrykit.llm import fingerprints, language_id, line_dedup, media, near_dedup, packing, queries, substring_dedup
 
 from . import brute
@@ -72,6 +73,48 @@ def test_near_duplicates_around_a_hub(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == sorted(brute.op10(rows))
 
 
+@pytest.mark.parametrize("heavy, hub", [(2, 3), (1, 10**6)])
+def test_near_duplicates_with_hot_shingles_and_hubs(spark, monkeypatch, heavy, hub):
+    """Strangers that share their rarest shingles, of several sizes, beside two groups of copies; all joins dealt small."""
+    monkeypatch.setattr(near_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(components_, "HUB", hub)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(words[: 40 + i % 20])
+        for j in range(int(rng.integers(0, 9))):
+            w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 30)}"
+        rows.append((i, " ".join(w)))
+    out = near_dedup.near_duplicates(frame(spark, [(*r, None, None) for r in rows], 5), shingle=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == sorted(brute.op10(rows))
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, b), (2, a), (3, b + " more"), (4, "something else"), (4, "something else")]
+    out = near_dedup.near_duplicates(frame(spark, [(*r, None, None) for r in rows]), shingle=2).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in out) == Counter([(1, 1, True), (2, 2, True), (2, 1, False), (3, 2, False), (4, 4, True), (4, 4, True)])
+
+
+def test_components_equal_plain(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100, 200 + i) for i in range(30)] + [(300 + i, 301 + i) for i in range(20)]
+    for hub in (2, 10**6):
+        monkeypatch.setattr(components_, "HUB", hub)
+        got = {r["node"]: r["label"] for r in components_.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        want = {x: x for x in {x for a, b in links if a != b for x in (a, b)}}
+        while True:
+            new = dict(want)
+            for a, b in links:
+                if a != b:
+                    new[a] = new[b] = min(new[a], new[b])
+            if new == want:
+                break
+            want = new
+        assert got == want
+
+
 def test_bayes_bounds_prune_and_keep():
     bounds = near_dedup.least_matches(392, 56, 0.8, 1e-9)
     assert bounds[-1][0] == 392 and all(0 < low < 0.8 * n for n, low in bounds)

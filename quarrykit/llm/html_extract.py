@@ -11,12 +11,13 @@ goes as well, so hosts with few pages are cleaned too.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a page
 without article or main element keeps all that is left of its body; a url without a host
-counts for the empty host; unclosed and stray tags are repaired; repeated rows and null
-ids are kept; an empty table gives an empty result; other columns are not read.
+counts for the empty host; unclosed and stray tags are repaired, a tag in which the page
+ends is left out; repeated rows and null ids are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -25,12 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable
+from .common import arrow_rows, durable, trimmed
 
 MIN_PAGES = 5
 #: Template hashes up to which they are broadcast (a few MB), else joined by host.
 BROADCAST_HASHES = 200_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+def _tag(quotes: str) -> re.Pattern:
+    """A whole tag, read once without going back; ``quotes`` are those whose other end is still to come."""
+    values = "".join(rf"|{q}[^{q}]*+{q}" for q in quotes)
+    return re.compile(rf"<(/?)([A-Za-z][^\s/>]*+)((?:[^>{quotes}]++{values})*+)>")
+
+
+_TAGS = {q: _tag(q) for q in ("\"'", "\"", "'", "")}
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
 # Element kinds of HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,11 +48,19 @@ _CLOSES_P = set("address article aside blockquote details div dl fieldset figcap
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"thead", "tbody"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _MAIN = {"article", "main"}
+_PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt td th".split())
 # Names by which markup marks what is not the article.
-_NOISE = re.compile(r"^(?:ads?|adverts?|advertisement|adsbygoogle|banner|sponsor(?:ed)?|promo|menu|nav(?:bar|igation)?|topbar|breadcrumbs?|sidebar|aside|footer|masthead|site-?header|page-?header|header|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search(?:-?(?:form|box))?|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|widget|toolbar|skip-?link|copyright)$", re.I)
-_NOISE_PART = re.compile(r"^(?:ad|ads|advert|cookie|comment|comments|sidebar|banner|promo|sponsor|newsletter|navbar|nav|menu|footer|breadcrumb|share|social|related|popup|consent|notice)[-_]|[-_](?:ad|ads|advert|banner|comments?|sidebar|nav|navbar|menu|footer|notice|cookie|consent|popup|newsletter|widget)$", re.I)
+_NOISE = set(
+    "ad ads advert adverts advertisement adsbygoogle banner sponsor sponsored promo menu nav navbar navigation topbar breadcrumb breadcrumbs sidebar aside footer "
+    "masthead header cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
+    "comment comments commentlist disqus replies reply respond pagination pager widget toolbar skip skiplink copyright".split()
+)
+_NEUTRAL = set("area articles bar block bottom box button buttons col column container content element form global group holder inner item items left line link links list main media message outer page panel popular posts primary region right row secondary section site slot strip text thread top unit wrap wrapper zone".split())
+_COMMENT = set("comment comments reply replies commentlist".split())
+_PARTS = re.compile(r"[-_]|(?<=[a-z])(?=[A-Z])")
+#: Attributes whose reading a worker remembers, and characters of the longest such.
+_REMEMBERED, _SHORT = 20_000, 300
 _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar"}
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -57,14 +72,26 @@ class Node:
         self.digest, self.text_len, self.link_len = 0, 0, 0
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """Class and id for the hash, and whether the names say that this isn't the article."""
+def _says(value: str, names: set[str], neutral: set[str]) -> bool:
+    """Whether a class or id is made of the given names, at least one, and else of neutral words only."""
+    parts = [p.rstrip("0123456789") for p in _PARTS.split(value) if p]
+    low = [p.lower() for p in parts]
+    return any(p in names for p in low) and all(p in names or p in neutral or not p for p in low)
+
+
+def _named(attributes: str, tag: str) -> tuple[str, bool]:
+    """Class and id for the hash, and whether the names say that this isn't the article.
+
+    An article or main element goes by name only where the name says reader comment;
+    paragraphs, headings and cells only where it says nothing else.
+    """
     mark, noise = [], False
+    names, neutral = _COMMENT if tag in _MAIN else _NOISE, set() if tag in _MAIN | _PROSE else _NEUTRAL
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             mark.append(f"{name}={value}")
-            noise = noise or any(_NOISE.match(x) or _NOISE_PART.search(x) for x in value.split())
+            noise = noise or any(_says(x, names, neutral) for x in value.split())
         elif name == "role":
             noise = noise or value.lower() in _NOISE_ROLES
         elif name == "style":
@@ -74,56 +101,104 @@ def _named(attributes: str) -> tuple[str, bool]:
     return " ".join(mark), noise
 
 
+_named_again = functools.lru_cache(_REMEMBERED)(_named)
+
+
+class Open:
+    """The open elements, and where each tag and the innermost block stand, so that no tag searches them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        while len(self.stack) > i:
+            self.at[self.stack.pop().tag].pop()
+        while self.blocks[-1] >= i:
+            self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def parse(page: str) -> Node:
-    """The element tree of a page."""
+    """The element tree of a page, in time linear in its length."""
     root = Node("#root")
-    stack = [root]
-    at = 0
-    while m := _TOKEN.match(page, at):
+    opened = Open(root)
+    at, size, quotes = 0, len(page), "\"'"
+    while at < size:
+        lt = page.find("<", at)
+        if lt != at:
+            opened.stack[-1].children.append(page[at : lt if lt >= 0 else size])
+            if lt < 0:
+                break
+        at = lt
+        m = _TAGS[quotes].match(page, at)
+        if m is None:
+            head = page[at + 1 : at + 2]
+            if head in ("!", "?"):
+                if page.startswith("<!--", at):
+                    stop, skip = page.find("-->", at + 4), 3
+                elif page.startswith("<![CDATA[", at):
+                    stop, skip = page.find("]]>", at + 9), 3
+                    opened.stack[-1].children.append(entities.escape(page[at + 9 : stop if stop >= 0 else size], quote=False))
+                else:
+                    stop, skip = page.find(">", at), 1
+                at = stop + skip if stop >= 0 else size
+            elif re.match("</?[A-Za-z]", page[at : at + 3]):
+                left = _unpaired(page, at, quotes)
+                if left is None or page.find(">", at) < 0:
+                    break  # the page ends inside this tag
+                quotes = quotes.replace(left, "")  # that quote never ends, here or further on: it is an ordinary character
+            elif head == "/":
+                stop = page.find(">", at)
+                at = stop + 1 if stop >= 0 else size
+            else:
+                opened.stack[-1].children.append("<")
+                at += 1
+            continue
         at = m.end()
-        tag = m[2]
-        if m[4] is not None:
-            stack[-1].children.append(m[4])
-        elif tag is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
-        elif m[1]:
-            tag = tag.lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in _INLINE and stack[i].tag not in _INLINE:
-                    break
-        else:
-            tag = tag.lower()
-            if tag in _CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in _INLINE:
-                        break
-            if closed := _CLOSED_BY.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in closed:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _SCOPE[tag]:
-                        break
-            elif tag == "body" or (tag in _CLOSES_P and stack[-1].tag == "head"):
-                del stack[next((i for i, n in enumerate(stack) if n.tag == "head"), len(stack)) :]
-            mark, noise = _named(m[3]) if m[3] else ("", False)
-            node = Node(tag, mark, noise and tag not in ("html", "body"))
-            stack[-1].children.append(node)
-            if tag in _RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                body = page[at : end.start() if end else len(page)]
-                at = end.end() if end else len(page)
-                node.children.append(body)
-            elif tag not in _VOID:
-                stack.append(node)
-    return root  # what follows is a tag that the page breaks off in
+        tag = m[2].lower()
+        if m[1]:
+            if own := opened.at.get(tag):
+                if tag not in _INLINE or opened.blocks[-1] < own[-1]:
+                    opened.cut(own[-1])
+            continue
+        if tag in _CLOSES_P and opened.at.get("p") and opened.blocks[-1] == opened.at["p"][-1]:
+            opened.cut(opened.blocks[-1])
+        if closed := _CLOSED_BY.get(tag):
+            if (i := opened.last(closed)) > opened.last(_SCOPE[tag]):
+                opened.cut(i)
+        elif opened.at.get("head") and (tag == "body" or (tag in _CLOSES_P and opened.stack[-1].tag == "head")):
+            opened.cut(opened.at["head"][0])
+        attributes = m[3]
+        mark, noise = ("", False) if len(attributes) < 2 else _named_again(attributes, tag) if len(attributes) <= _SHORT else _named(attributes, tag)
+        node = Node(tag, mark, noise and tag not in ("html", "body"))
+        opened.stack[-1].children.append(node)
+        if tag in _RAW:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            node.children.append(page[at : end.start() if end else size])
+            at = end.end() if end else size
+        elif tag not in _VOID:
+            opened.push(node)
+    return root
+
+
+def _unpaired(page: str, at: int, quotes: str) -> str | None:
+    """The first quote of a tag that has no other end."""
+    while quotes and (m := re.compile(f"[>{quotes}]").search(page, at)):
+        if m[0] == ">":
+            return None
+        stop = page.find(m[0], m.end())
+        if stop < 0:
+            return m[0]
+        at = stop + 1
+    return None
 
 
 def finish(root: Node) -> list[Node]:
@@ -142,7 +217,7 @@ def finish(root: Node) -> list[Node]:
                 node.text_len += c.text_len
                 node.link_len += c.text_len if c.tag == "a" else c.link_len
             else:
-                text = _SPACE.sub(" ", c).strip()
+                text = " ".join(c.split())
                 digest.update("\x01" + text)
                 node.text_len += len(text)
         node.digest = digest.intdigest()
@@ -178,7 +253,7 @@ def _recurs(top: Node, template: set[int]) -> bool:
     while todo:
         node = todo.pop()
         if isinstance(node, str):
-            left += len(_SPACE.sub(" ", node).strip())
+            left += len(" ".join(node.split()))
         elif node.tag in _DROPPED or node.noise:
             continue
         elif _is_template(node, False, template):
@@ -209,7 +284,7 @@ def main_text(root: Node, template: set[int]) -> str:
     held: list[str] = []
 
     def flush() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
             blocks.append(text)

@@ -143,7 +143,7 @@ def test_html_article(spark):
     rows = [(1, "http://a.org/1", PAGE % body), (2, None, None), (3, "nohost", ""), (4, "http://a.org/2", "<p>only <i>a</i> paragraph"), (5, "http://a.org/3", "plain text < 3 &lt; 4"), (6, "http://b.org", "<div><p>unclosed <b"), (None, "http://b.org", None)]
     got = texts(html_extract.extract(pages(spark, rows)))
     assert got[1] == "Head & line\n\nOne two three\n\nFour five\n\nx\n\ny"
-    assert got[2] == "" and got[3] == "" and got[None] == "" and got[4] == "only a paragraph" and got[5] == "plain text < 3 < 4"
+    assert got[2] == "" and got[3] == "" and got[None] == "" and got[4] == "only a paragraph" and got[5] == "plain text < 3 < 4" and got[6] == "unclosed"
 
 
 def test_html_template_of_a_host(spark):

@@ -1,5 +1,9 @@
 """Template inside articles and on large hosts goes; articles that are posted often stay."""
 
+import random
+import time
+from collections import defaultdict
+
 from quarrykit.llm import html_extract
 
 from .test_corpus import pages, texts
@@ -31,3 +35,77 @@ def test_articles_posted_often_or_with_edits_stay(spark):
     got = texts(html_extract.extract(pages(spark, same + edited)))
     assert all(got[i] == f"{i}\n\n" + "\n\n".join(f"Story 1 tells its own tale, part {j}." for j in range(3)) for i in range(8))
     assert all(got[100 + i].count("Story 2") == 3 for i in range(8))
+
+
+def test_names_do_not_delete_articles_or_prose(spark):
+    """Each page stands alone on its host, so names alone could delete."""
+    kept = {
+        1: '<article class="post comments-open"><p>Story text.</p></article>',
+        2: '<main id="nav-less sidebar-none"><p class="ad-free">Story text.</p></main>',
+        3: '<div class="headers-of-state"><p>Story text.</p></div>',
+        4: '<body><div class="advertising-history"><h2 id="share-prices">Story text.</h2></div></body>',
+    }
+    gone = {
+        11: '<article><p>Story text.</p><div class="ad-slot">Buy</div><p class="notice">Read this</p></article>',
+        12: '<main><p>Story text.</p></main><section id="comments"><article class="comment"><p>First!</p></article></section>',
+        13: '<article><p>Story text.</p><div class="relatedPosts">More</div><div id="cookie_banner2">Yes</div></article>',
+    }
+    rows = [(i, f"http://h{i}.example/", h) for i, h in (kept | gone).items()]
+    assert set(texts(html_extract.extract(pages(spark, rows))).values()) == {"Story text."}
+
+
+def test_repair(spark):
+    cases = {
+        "<div><p>unclosed <b": "unclosed",
+        "<p>a <b x='1>2'>b</b> c": "a b c",
+        "<p title=\"never ends>one</p><p>two": "one\n\ntwo",
+        "<p>x</p></ b>y": "x\n\ny",
+        "<ul><li>1<ul><li>2</ul><li>3</ul>": "1\n\n2\n\n3",
+        "<b>1<div>2</b>3</div>4": "1\n\n23\n\n4",
+        "a<!-- x <p> -->b<![CDATA[ <c> ]]>d<!DOCTYPE x>e<?pi?>f": "ab <c> def",
+        "<script>if (a < b) { '</p>' }</script>after": "after",
+        "1 < 2 &lt; 3 <4": "1 < 2 < 3 <4",
+    }
+    rows = [(i, f"http://h{i}.example/", h) for i, h in enumerate(cases)]
+    got = texts(html_extract.extract(pages(spark, rows)))
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_hostile_pages_take_linear_time():
+    n = 60_000
+    for page in ("<a x " * n, "<div><b>" * n + "</i></p>" * n, "<li><ul>" * n, "<p><b>" * n + "</p>" * n, "<a \" <b ' " * n + ">", "<a '\">" * n, "< " * n, "<!" * n, "<div class=" + "x-" * n + ">t"):
+        began = time.process_time()
+        root = html_extract.parse(page)
+        html_extract.finish(root)
+        html_extract.surroundings(root)
+        html_extract.main_text(root, set())
+        assert time.process_time() - began < 5, page[:20]  # quadratic ones take minutes
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "http://a.example/", "<p>one</p>"), (1, "http://a.example/", "<p>two</p>"), (1, "http://a.example/", "<p>one</p>"), (None, None, "<p>three</p>"), (None, None, None)]
+    out = html_extract.extract(pages(spark, rows)).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "", 0), (0, "three", 5), (1, "one", 3), (1, "one", 3), (1, "two", 3)]
+
+
+def test_templates_recounted_and_needed(spark, monkeypatch):
+    """Subtree counts against a plain recount; with no template the boxes that only recurrence tells would stay."""
+    rng = random.Random(3)
+    boxes = [f"<div class=k{i}><p>Box {i} of the house.</p></div>" for i in range(6)]
+    rows = []
+    for i in range(60):
+        own = [b for j, b in enumerate(boxes) if rng.random() < (j + 1) / 12]
+        body = story(i) + "".join(own)
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<body><article>{body}</article></body>" if i % 2 else f"<body>{body}</body>"))
+    met = defaultdict(set)
+    for i, url, page in rows:
+        for box in boxes:
+            if box in page:
+                met[url.split("/")[2], box].add(i)
+    got = texts(html_extract.extract(pages(spark, rows)))
+    for i, url, page in rows:
+        left = [f"Box {j} of the house." for j, box in enumerate(boxes) if box in page and len(met[url.split("/")[2], box]) < html_extract.MIN_PAGES]
+        assert got[i] == "\n\n".join([*(f"Story {i} tells its own tale, part {j}." for j in range(3)), *left])
+    assert any("Box" in t for t in got.values()) and any(len(x) >= html_extract.MIN_PAGES for x in met.values())
+    plain = texts(html_extract.extract(pages(spark, rows), min_pages=1000))
+    assert all(plain[i].count("Box") == sum(b in page for b in boxes) for i, _, page in rows) and plain != got

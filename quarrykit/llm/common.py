@@ -167,15 +167,16 @@ class Words:
         self.ends = np.flatnonzero(after & ~sep) + 1
         self.first = np.searchsorted(self.starts, offsets)  # n + 1 word offsets
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit multilinear hash of each word's bytes."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        lens = self.ends - self.starts
+    def hashes(self, seed: int = 1, which: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit multilinear hash of the bytes of each word, or of those at the positions ``which``."""
+        starts, ends = (self.starts, self.ends) if which is None else (self.starts[which], self.ends[which])
+        out = np.empty(len(starts), dtype=np.uint64)
+        lens = ends - starts
         total = np.concatenate(([0], np.cumsum(lens)))
         i = 0
         while i < len(out):
             j = max(i + 1, int(np.searchsorted(total, total[i] + HASH_BYTES, side="right")) - 1)
-            out[i:j] = self._hash(self.starts[i:j], lens[i:j], seed)
+            out[i:j] = self._hash(starts[i:j], lens[i:j], seed)
             i = j
         return out
 

@@ -4,8 +4,9 @@ A repeat of ``window`` words holds one whole block of ``(window + 1) // 2`` word
 the grid laid over its own document. So the non-overlapping blocks of all documents
 are the index, every rolling window of the block's length is a probe, and a block
 that is met anywhere but at its own place is an anchor. Each anchor is extended: the
-windows of full length around it are compared by a 96-bit hash, those that start at
-two places or more are repeats, and their union makes the maximal exact repeats.
+windows of full length around it are compared by 96 bits, 64 of one hash of their words
+and 32 of another, independent one; those that start at two places or more are repeats,
+and their union makes the maximal exact repeats.
 
 Documents are dealt into cells by hash. A cell sends each hash once, however often it
 holds it, as sorted and delta-coded blobs by hash range. So a passage that a third of
@@ -33,6 +34,7 @@ CELL_BYTES = 6_000_000
 BUCKET_WINDOWS = 4_000_000
 #: Bits of an anchor hash beyond those needed to count the windows: it only sifts.
 SPARE_BITS = 16
+SECOND_SEED = 29
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -101,7 +103,17 @@ class Anchors:
         full = full[((seen[:, reach] - seen[:, full]) > 0).all(axis=0)]
         if not len(full):
             return full, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return full, rolling(hashes, self.window, 5)[full], rolling(hashes, self.window, 7)[full] >> np.uint64(32)
+        return full, rolling(hashes, self.window, 5)[full], rolling(self.others(words, full), self.window, 7)[full] >> np.uint64(32)
+
+    def others(self, words: Words, full: np.ndarray) -> np.ndarray:
+        """Hashes of the words in the windows at ``full``, by other multipliers than those that found them; 0 elsewhere."""
+        step = np.zeros(len(words.starts) + 1, dtype=np.int64)
+        step[full] += 1
+        step[full + self.window] -= 1
+        inside = np.flatnonzero(np.cumsum(step)[:-1] > 0)
+        out = np.zeros(len(words.starts), dtype=np.uint64)
+        out[inside] = words.hashes(SECOND_SEED, inside)
+        return out
 
     def split(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """Bounds of the buckets in a sorted array of hashes of ``width`` bits."""

@@ -11,6 +11,8 @@ import pytest
 from quarrykit.llm import components as components_
 from quarrykit.llm import fingerprints, language_id, line_dedup, media, near_dedup, packing, queries, substring_dedup
 
+from quarrykit.llm.common import Words
+
 from . import brute
 from .conftest import frame
 
@@ -35,6 +37,29 @@ def test_substring_dedup_short_windows(spark, window):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out} == want
 
 
+def test_substring_dedup_with_colliding_word_hashes(spark, monkeypatch):
+    """With a first hash that is the same for all words, the second, independent one tells the windows apart."""
+    whole = Words.hashes
+
+    def few(self, seed=1, which=None):
+        out = whole(self, seed, which)
+        return out * np.uint64(seed != 1)
+
+    monkeypatch.setattr(Words, "hashes", few)
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 2000, 60))) for i in range(12)]
+    rows += [(20 + i, " ".join(rows[i][1].split()[10:50])) for i in range(4)]
+    table = pa.table({"text": [t for _, t in rows]})
+    words, hashes = substring_dedup._cell_words(table)
+    plan = substring_dedup.Anchors(35, 62, 1)
+    at, main, more = plan.candidates(words, hashes, np.unique(plan.probes(words, hashes)[1]))
+    flat = [w for _, t in rows for w in t.split()]
+    by = defaultdict(set)
+    for i, a, b in zip(at, main, more):
+        by[a, b].add(tuple(flat[i : i + 35]))
+    assert len(at) > 300 and all(len(x) == 1 for x in by.values())
+
+
 def test_empty_tables(spark, empty):
     assert substring_dedup.repeats(empty).count() == 0
     assert near_dedup.near_duplicates(empty).count() == 0

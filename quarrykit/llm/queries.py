@@ -11,6 +11,8 @@ from . import fingerprints, html_extract, language_id, line_dedup, media, mixing
 from .common import durable
 
 TOKENIZER = "word_bpe_49k.json"
+#: Fingerprints that are broadcast with their counts (16 MB); more are sent in copies to this many tasks each.
+BROADCAST_PRINTS, PRINT_COPIES = 1_000_000, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +31,13 @@ def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = prints.where("doc_id % 50 = 0")
     pairs = fingerprints.within_radius(asked, prints)
     sizes = prints.groupBy(F.col("bits").alias("found")).agg(F.count("*").alias("n"))
-    near = pairs.join(sizes, "found").groupBy(F.col("query").alias("bits")).agg((F.sum("n") - 1).alias("n_near"))
-    counted = prints.join(near, "bits", "left")
+    near = durable(pairs.join(sizes, "found").groupBy(F.col("query").alias("bits")).agg((F.sum("n") - 1).alias("n_near")), "near")
+    # equal texts have equal fingerprints, so one of them may stand in a third of all rows
+    if near.count() <= BROADCAST_PRINTS:
+        counted = prints.join(F.broadcast(near), "bits", "left")
+    else:
+        copies = near.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(PRINT_COPIES - 1))))
+        counted = prints.withColumn("cell", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(PRINT_COPIES)).cast("int")).join(copies, ["bits", "cell"], "left")
     return counted.select(*[c for c in prints.columns if c != "bits"], F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"))
 
 

@@ -40,8 +40,8 @@ FIRST_BANDS = 6
 BATCH = 56
 #: Ids up to which the wanted documents are found by a broadcast (8 MB), else by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Mates at one shingle and size step that one task joins, about.
-HEAVY = 2000
+#: Mates at one shingle and size step, or pairs of one node, that one task joins, about; and nodes with more pairs at most.
+HEAVY, MOST_HUBS = 1000, 100_000
 _BLOCK = 512
 
 
@@ -138,9 +138,17 @@ class Verifier:
 
     @staticmethod
     def _joined(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-        a = values.select(F.col("node").alias("a"), F.col(name).alias("left"))
-        b = values.select(F.col("node").alias("b"), F.col(name).alias("right"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right")
+        """Written ``pairs`` with both sides' values. A node of many pairs sends its value to several tasks; there are less than ``MOST_HUBS`` of them on a side, as they hold ``heavy`` pairs each."""
+        heavy = max(HEAVY, -(-pairs.count() // MOST_HUBS))
+        ends = [pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > heavy) for side in ("a", "b")]
+        many = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("n").alias("n"))
+        many = F.broadcast(many.select("node", F.ceil(F.col("n") / heavy).cast("int").alias("cells")))
+        cells = F.coalesce("cells", F.lit(1))
+        sent = values.select("node", name).join(many, "node", "left").select("node", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"), name)
+        for side, other, to in (("a", "b", "left"), ("b", "a", "right")):
+            dealt = pairs.join(many.withColumnRenamed("node", side), side, "left").withColumn("cell", F.pmod(F.xxhash64(other), cells).cast("int")).drop("cells")
+            pairs = dealt.join(sent.select(F.col("node").alias(side), "cell", F.col(name).alias(to)), [side, "cell"]).drop("cell")
+        return pairs.select("a", "b", "left", "right")
 
     def alive(self, pairs: DataFrame) -> DataFrame:
         """Pairs that no look at the posterior drops."""
@@ -159,7 +167,7 @@ class Verifier:
                         live, at = live[equal[live] >= low], n
                     yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(live)) for c in ("a", "b")], names=["a", "b"])
 
-        return self._joined(pairs, self.nodes, "marks").mapInArrow(prune, "a long, b long").distinct()
+        return self._joined(pairs, self.nodes, "marks").mapInArrow(prune, "a long, b long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, body): the shingles of the ``wanted(node)``, from texts read again by id and told apart by digest."""
@@ -178,8 +186,9 @@ class Verifier:
         return found.join(wanted, ["doc_id", "digest"]).select("node", "body")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold, as a written table."""
-        pairs = durable(self.alive(pairs), "alive")
+        """Of distinct pairs those whose full sets reach the threshold, as a written table."""
+        asked = durable(pairs, "asked")
+        pairs = durable(self.alive(asked), "alive")
         sets = durable(self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "sets")
         threshold = self.threshold
 
@@ -194,8 +203,8 @@ class Verifier:
                     keep = pa.array(good, pa.bool_())
                     yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-        found = durable(self._joined(pairs, sets, "body").mapInArrow(exact, "a long, b long").distinct(), "links")
-        discard(pairs, sets)
+        found = durable(self._joined(pairs, sets, "body").mapInArrow(exact, "a long, b long"), "links")
+        discard(asked, pairs, sets)
         return found
 
 

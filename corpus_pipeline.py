@@ -45,7 +45,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
     keys = ["_id", "_hash"]
     named = found.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.coalesce("text_hash", F.lit("")).alias("_hash"), "kept")
-    wrapped = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.md5("text"), F.lit("")).alias("_hash"))
+    spread = (F.monotonically_increasing_id() % 100_000).cast("string")  # rows without an id meet nothing: they needn't meet each other
+    hashed = F.when(F.col("doc_id").isNull(), spread).otherwise(F.coalesce(F.md5("text"), F.lit("")))
+    wrapped = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), hashed.alias("_hash"))
     left = wrapped.join(named.where(~F.col("kept")).select(*keys).distinct(), keys, "left_anti")
     twice = durable(named.where("kept").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "twice")
     if not twice.isEmpty():  # rows equal in id and text: only these are gathered by key

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
@@ -105,6 +107,12 @@ def normal_ppf(p: float) -> float:
     return z - u / (1 + z * u / 2)
 
 
+def normal_ppfs(p: np.ndarray) -> np.ndarray:
+    """``normal_ppf`` of each value, NaN for NaN: the same for a value whatever stands beside it."""
+    distinct, where = np.unique(p, return_inverse=True)
+    return np.array([normal_ppf(x) if x == x else np.nan for x in distinct.tolist()], dtype=float)[where]
+
+
 def kolmogorov_sf(z: float) -> float:
     if z < 0.2:
         return 1.0

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import broadcast_if_small, numeric_columns, require
+from ..functions.order import codes_of, median
 
 MISSING = "__MISSING__"
+MOST_COLUMNS = 10_000
 
 
 def category(c: str) -> Column:
@@ -38,6 +40,8 @@ def target_encode(df: DataFrame, columns: list[str], y: str, smoothing: float =
     if smoothing < 0:
         raise ValueError("smoothing is not negative")
     mean = fit.agg(F.avg(y)).first()[0]
+    if mean is None:  # no target at all: no value either
+        return df.withColumns({f"{c}{suffix}": F.lit(None).cast("double") for c in columns})
     for c in columns:
         name = f"{c}{suffix}"
         mapping = target_stats(fit, c, y).select("_cat", ((F.col("_s") + F.lit(mean * smoothing)) / (F.col("_n") + F.lit(smoothing))).alias(name))
@@ -70,15 +74,18 @@ def target_encode_oof(df: DataFrame, columns: list[str], y: str, fold: Column, s
 
 
 def codes(df: DataFrame, c: str) -> list[str]:
-    """Sorted categories of a column; as many as the column has values."""
-    return [r[0] for r in df.select(category(c).alias("v")).distinct().orderBy("v").collect()]
+    """Sorted categories of a column, ``MOST_COLUMNS`` at most, as each becomes a column."""
+    found = [r[0] for r in df.select(category(c).alias("v")).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{c} has more than {MOST_COLUMNS} categories")
+    return sorted(found)
 
 
 def ordinal_encode(df: DataFrame, columns: list[str], suffix: str = "_ord", fitted_on: DataFrame | None = None, unknown: int = -1) -> DataFrame:
     """Lexicographic codes from 0."""
     for c in columns:
-        cats = codes(fitted_on if fitted_on is not None else df, c)
-        mapping = df.sparkSession.createDataFrame(list(zip(cats, range(len(cats)))), f"_cat string, `{c}{suffix}` long")
+        fit = fitted_on if fitted_on is not None else df
+        mapping = codes_of(fit.select(category(c).alias("_cat")), "_cat").withColumnRenamed("code", f"{c}{suffix}")
         df = _mapped(df, c, mapping, [f"{c}{suffix}"], {f"{c}{suffix}": F.lit(unknown).cast("long")})
     return df
 
@@ -86,11 +93,12 @@ def ordinal_encode(df: DataFrame, columns: list[str], suffix: str = "_ord", fitt
 def binary_encode(df: DataFrame, columns: list[str], min_cardinality: int = 20, fitted_on: DataFrame | None = None) -> DataFrame:
     """Bits of codes 1..K for columns with more than ``min_cardinality`` categories; unseen ones are 0."""
     for c in columns:
-        cats = codes(fitted_on if fitted_on is not None else df, c)
-        if len(cats) <= min_cardinality:
+        cats = (fitted_on if fitted_on is not None else df).select(category(c).alias("_cat"))
+        n = cats.distinct().count()
+        if n <= min_cardinality:
             continue
-        bits = max(1, math.ceil(math.log2(len(cats) + 1)))
-        mapping = df.sparkSession.createDataFrame([(v, k + 1) for k, v in enumerate(cats)], "_cat string, _code int")
+        bits = max(1, math.ceil(math.log2(n + 1)))
+        mapping = codes_of(cats, "_cat").select("_cat", (F.col("code") + 1).cast("int").alias("_code"))
         keep = df.columns
         out = _mapped(df, c, mapping, ["_code"], {"_code": F.lit(0)})
         made = {f"{c}_bin_{i + 1}": F.shiftright("_code", bits - 1 - i).bitwiseAND(F.lit(1)) for i in range(bits)}
@@ -124,15 +132,17 @@ def group_rare(df: DataFrame, c: str, top: int, other: str = "__OTHER__", missin
     return df.withColumn(c, F.when(F.col(c).isNull(), missing).when(F.col(c).isin(best), F.col(c)).otherwise(other))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson correlations by one aggregate of pairs."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(*[F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"r{i}_{j}") for i, j in pairs]).first()
+def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, dict[str, float]]:
+    """Pearson correlations and population variances by one aggregate."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    x = [F.col(c).cast("double") for c in columns]
+    row = df.agg(*[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs], *[F.var_pop(v).alias(f"v{i}") for i, v in enumerate(x)]).first()
+    var = np.array([row[f"v{i}"] if row[f"v{i}"] is not None else np.nan for i in range(len(columns))])
     out = np.eye(len(columns))
     for i, j in pairs:
-        v = row[f"r{i}_{j}"]
-        out[i, j] = out[j, i] = np.nan if v is None else v
-    return out
+        scale = math.sqrt(var[i] * var[j])
+        out[i, j] = out[j, i] = row[f"c{i}_{j}"] / scale if scale else np.nan
+    return out, dict(zip(columns, var.tolist()))
 
 
 def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -142,13 +152,15 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if len(columns) < 2:
         return spark.createDataFrame([], "feature string, vif double")
     x = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")) for c in columns}
-    medians = df.agg(*[F.percentile(x[c], F.lit(0.5)).alias(c) for c in columns]).first()
-    filled = df.select(*[F.coalesce(x[c], F.lit(medians[c]), F.lit(0.0)).alias(c) for c in columns])
-    variances = filled.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    holes = df.agg(*[(F.count("*") - F.count(x[c])).alias(c) for c in columns]).first()
+    medians = median(df, {c: x[c] for c in columns if holes[c]}) if any(holes) else {}
+    filled = df.select(*[F.coalesce(x[c], F.lit(medians.get(c)), F.lit(0.0)).alias(c) for c in columns])
+    whole, variances = correlation_matrix(filled, columns)
     live = [c for c in columns if variances[c] and variances[c] > 1e-12]
     out = {c: math.inf for c in columns}
     if live:
-        r = np.nan_to_num(correlation_matrix(filled, live))
+        at = [columns.index(c) for c in live]
+        r = np.nan_to_num(whole[np.ix_(at, at)])
         for i, c in enumerate(live):
             others = [j for j in range(len(live)) if j != i]
             r2 = float(r[i, others] @ np.linalg.pinv(r[np.ix_(others, others)]) @ r[others, i]) if others else 0.0

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..core import any_of, numeric_columns, sample_exact
+from ..functions.order import quantiles
 
 
 def _imputed(c: str, mean: float | None) -> Column:
@@ -24,10 +25,10 @@ def _imputed(c: str, mean: float | None) -> Column:
 
 
 def fit_iqr(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[float, float, float]]:
-    """(mean, Q1, Q3) of each column after mean imputation, linear quantiles: two small aggregates."""
+    """(mean, Q1, Q3) of each column after mean imputation, exact linear quantiles."""
     columns = columns or numeric_columns(df)
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    quartiles = df.agg(*[F.percentile(_imputed(c, means[c]), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
+    quartiles = quantiles(df, {c: _imputed(c, means[c]) for c in columns}, [0.25, 0.75])
     return {c: (means[c], *quartiles[c]) for c in columns if quartiles[c]}
 
 
@@ -196,5 +197,5 @@ def iforest(df: DataFrame, keys: list[str], columns: list[str], contamination: f
         return pd.Series(forest.score(np.column_stack([v.to_numpy(dtype=float) for v in values])))
 
     scored = df.withColumn("iforest_score", score(*x))
-    limit = 0.5 if contamination is None else scored.agg(F.percentile("iforest_score", F.lit(1 - contamination))).first()[0]
+    limit = 0.5 if contamination is None else quantiles(scored, {"s": F.col("iforest_score")}, [1 - contamination])["s"][0]
     return scored.withColumn("iforest_outlier", F.col("iforest_score") > F.lit(limit))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import numeric_columns, require
-from ..functions.distributions import normal_ppf
+from ..functions.distributions import normal_ppfs
+from ..functions.order import quantiles
 
 NORMAL_CLIP = 5.199337582187473  # the normal quantile of 1 - 1e-7
 QUANTILES = 1000
@@ -38,11 +39,20 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - F.lit(o)) / F.lit(f) * F.lit(d) + F.lit(s) for c, (s, d, f, o) in self.terms.items()})
 
 
-def _stats(df: DataFrame, columns: list[str] | None, aggs: dict) -> tuple[list[str], dict]:
+def _checked(df: DataFrame, columns: list[str] | None) -> list[str]:
     columns = columns or numeric_columns(df)
     if not columns:
         raise ValueError("no numeric columns")
-    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    return columns
+
+
+def _number(c: str) -> Column:
+    return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+
+def _stats(df: DataFrame, columns: list[str] | None, aggs: dict) -> tuple[list[str], dict]:
+    columns = _checked(df, columns)
+    x = {c: _number(c) for c in columns}
     row = df.agg(*[f(x[c]).alias(f"{k}:{c}") for c in columns for k, f in aggs.items()]).first()
     return columns, {c: {k: row[f"{k}:{c}"] for k in aggs} for c in columns}
 
@@ -58,9 +68,9 @@ def zscore(df: DataFrame, columns: list[str] | None = None, with_mean: bool = Tr
 
 
 def robust(df: DataFrame, columns: list[str] | None = None, centering: bool = True, scaling: bool = True, quantile_range: tuple[float, float] = (25.0, 75.0)) -> Scaler:
-    at = F.array(*[F.lit(q / 100) for q in (quantile_range[0], 50.0, quantile_range[1])])
-    columns, s = _stats(df, columns, {"q": lambda x: F.percentile(x, at)})
-    return Scaler({c: (v["q"][1] if centering else 0.0, ((v["q"][2] - v["q"][0]) or 1.0) if scaling else 1.0, 1.0, 0.0) for c, v in s.items() if v["q"]})
+    columns = _checked(df, columns)
+    q = quantiles(df, {c: _number(c) for c in columns}, [p / 100 for p in (quantile_range[0], 50.0, quantile_range[1])])
+    return Scaler({c: (v[1] if centering else 0.0, ((v[2] - v[0]) or 1.0) if scaling else 1.0, 1.0, 0.0) for c, v in q.items() if v})
 
 
 @dataclass
@@ -73,7 +83,6 @@ class QuantileScaler:
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, *self.grids)
         normal = self.output == "normal"
-        upper = np.array([normal_ppf(p) for p in np.linspace(0, 1, 20001)[1:-1]]) if normal else None
 
         def mapper(grid: list[float]):
             q = np.array(grid)
@@ -85,7 +94,7 @@ class QuantileScaler:
                 u = 0.5 * (np.interp(v, q, r) - np.interp(-v, -q[::-1], -r[::-1]))
                 u[np.isnan(v)] = np.nan
                 if normal:
-                    u = np.array([min(NORMAL_CLIP, max(-NORMAL_CLIP, normal_ppf(p))) if p == p else np.nan for p in u]) if len(u) < 20000 else np.clip(np.interp(u, np.linspace(0, 1, 20001)[1:-1], upper), -NORMAL_CLIP, NORMAL_CLIP)
+                    u = np.clip(normal_ppfs(u), -NORMAL_CLIP, NORMAL_CLIP)
                 return pd.Series(u).where(~np.isnan(v))
 
             return place
@@ -96,6 +105,5 @@ class QuantileScaler:
 def quantile(df: DataFrame, columns: list[str] | None = None, n_quantiles: int = QUANTILES, output: str = "uniform") -> QuantileScaler:
     columns = columns or numeric_columns(df)
     n = min(n_quantiles, max(1, df.count()))
-    at = F.array(*[F.lit(float(p)) for p in np.linspace(0, 1, n)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), at).alias(c) for c in columns]).first()
-    return QuantileScaler({c: np.maximum.accumulate(row[c]).tolist() for c in columns if row[c]}, output)
+    q = quantiles(df, {c: _number(c) for c in columns}, np.linspace(0, 1, n).tolist())
+    return QuantileScaler({c: np.maximum.accumulate(v).tolist() for c, v in q.items() if v}, output)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import sys
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +110,20 @@ def stratified_folds(df: DataFrame, stratum: str, k: int, keys: list[str], seed:
 def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """A broadcast hint only for a side that is counted and found small; else the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that the session names in spark.checkpoint.dir: its lineage ends there.
+
+    Only a local session that names none gets a temporary folder, which goes with the process.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="quarrykit-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

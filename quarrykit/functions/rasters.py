@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+# The weights of luma.
 LUMA = (0.299, 0.587, 0.114)
 
 
@@ -78,6 +79,7 @@ def _filter(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     return sum(k[i, j] * p[i : i + x.shape[0], j : j + x.shape[1]] for i in range(h) for j in range(w))
 
 
+# Gradient kernels.
 SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], dtype=float)
 PREWITT = np.array([[-1, 0, 1], [-1, 0, 1], [-1, 0, 1]], dtype=float)
 
@@ -188,7 +190,8 @@ def crop(x: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
 
 
 def noise(x: np.ndarray, mean: float, deviation: float, rng: np.random.Generator) -> np.ndarray:
-    return np.clip(x.astype(float) + rng.normal(mean, deviation, x.shape), 0, 255)
+    """Normal noise, saturated to whole values of 0..255."""
+    return np.floor(np.clip(x.astype(float) + rng.normal(mean, deviation, x.shape), 0, 255))
 
 
 def adjust(x: np.ndarray, alpha: float, beta: float) -> np.ndarray:

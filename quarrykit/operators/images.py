@@ -6,6 +6,7 @@ pandas functions. Every random choice depends on the row's key and a seed only.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -14,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import SEED, hash_order
+from ..core import SEED, hash_order, settled
 from ..functions import rasters
 
+#: Block tables of a Hamming search at most.
+MOST_TABLES = 300
+
 
 def array_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
@@ -51,21 +55,38 @@ def brightness_report(df: DataFrame, group: str, value: str = "brightness") -> D
     return s.crossJoin(marks).select(*s.columns, (F.col(group) == F.col("_hi")).alias("brightest"), (F.col(group) == F.col("_lo")).alias("darkest"), (F.col("mean") > F.col("_m")).alias("above_median"))  # a row a class
 
 
+def channel_stats(df: DataFrame, pixels: str = "pixels", channels: int = 1) -> list[tuple[float, float, float, float]]:
+    """(low, high, mean, population deviation) of each channel over all rasters: arrays are folded in place, then summed about the overall mean."""
+
+    def of(i: int):
+        return F.filter(pixels, lambda v, k: k % channels == i) if channels > 1 else F.col(pixels)
+
+    folded = [(F.array_min(of(i)), F.array_max(of(i)), F.aggregate(of(i), F.lit(0.0), lambda s, v: s + v), F.size(of(i))) for i in range(channels)]
+    one = df.agg(*[x for i, (lo, hi, s, n) in enumerate(folded) for x in (F.min(lo).alias(f"lo{i}"), F.max(hi).alias(f"hi{i}"), F.sum(s).alias(f"s{i}"), F.sum(n).alias(f"n{i}"))]).first()
+    mean = [one[f"s{i}"] / one[f"n{i}"] if one[f"n{i}"] else None for i in range(channels)]
+
+    def squares(i: int):
+        return F.sum(F.aggregate(of(i), F.lit(0.0), lambda s, v: s + (v - F.lit(mean[i])) * (v - F.lit(mean[i])))).alias(f"q{i}")
+
+    q = df.agg(*[squares(i) for i in range(channels)]).first()
+    return [(one[f"lo{i}"], one[f"hi{i}"], mean[i], math.sqrt(q[f"q{i}"] / one[f"n{i}"]) if mean[i] is not None else None) for i in range(channels)]
+
+
 def normalize(df: DataFrame, method: str, pixels: str = "pixels", channels: int = 1, eps: float = 1e-8) -> DataFrame:
-    """minmax_01, minmax_m11, zscore_global or zscore_channel with statistics of all rasters."""
-    flat = df.select(F.posexplode(pixels).alias("p", "v")).withColumn("c", F.col("p") % channels)
+    """minmax_01, minmax_m11, zscore_global or zscore_channel with statistics of all rasters; an empty table stays empty."""
+    if method not in ("minmax_01", "minmax_m11", "zscore_global", "zscore_channel"):
+        raise ValueError(f"unknown method {method}")
+    stats = channel_stats(df, pixels, channels if method == "zscore_channel" else 1)
+    if stats[0][2] is None:
+        return df
+    low, high, mean, sd = stats[0]
     if method.startswith("minmax"):
-        low, high = flat.agg(F.min("v"), F.max("v")).first()
         unit = lambda v: (v - F.lit(low)) / F.lit(high - low + eps)
         return df.withColumn(pixels, F.transform(pixels, unit if method == "minmax_01" else lambda v: 2 * unit(v) - 1))
     if method == "zscore_global":
-        mean, sd = flat.agg(F.avg("v"), F.stddev_pop("v")).first()
         return df.withColumn(pixels, F.transform(pixels, lambda v: (v - F.lit(mean)) / F.lit(sd + eps)))
-    if method == "zscore_channel":
-        rows = {r["c"]: (r["m"], r["s"]) for r in flat.groupBy("c").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()}
-        m, s = (F.array(*[F.lit(rows[i][k]) for i in range(channels)]) for k in (0, 1))
-        return df.withColumn(pixels, F.transform(pixels, lambda v, i: (v - F.get(m, i % channels)) / (F.get(s, i % channels) + F.lit(eps))))
-    raise ValueError(f"unknown method {method}")
+    m, s = (F.array(*[F.lit(x[k]) for x in stats]) for k in (2, 3))
+    return df.withColumn(pixels, F.transform(pixels, lambda v, i: (v - F.get(m, i % channels)) / (F.get(s, i % channels) + F.lit(eps))))
 
 
 def flip(pixels: Column, width: int, channels: int = 1) -> Column:
@@ -105,38 +126,60 @@ def sign_hash(pixels: Column) -> Column:
     return F.aggregate(pixels, F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
 
 
+def _block_masks(n: int) -> list[int]:
+    edges = [64 * i // n for i in range(n + 1)]
+    return [sum(1 << k for k in range(i, j)) for i, j in zip(edges, edges[1:])]
+
+
+def block_tables(most: int, tables: int = MOST_TABLES) -> list[int]:
+    """Masks such that two hashes within ``most`` bits agree under one of them at least: all choices of some of most + k blocks, with the longest keys that ``tables`` allow."""
+    k = 1
+    while most + k + 1 <= 64 and math.comb(most + k + 1, k + 1) <= tables:
+        k += 1
+    return [sum(x) for x in combinations(_block_masks(most + k), k)]
+
+
+def near_hashes(hashes: DataFrame, most: int = 10) -> DataFrame:
+    """(h, g, distance) of all pairs h < g of the distinct ``hashes(h)`` within ``most`` bits, each once, by permuted block tables."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_tables(most)]
+    cells = F.array(*[F.struct(F.lit(i).alias("t"), F.col("h").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
+    rows = hashes.select("h", F.inline(cells))
+    x = F.col("h").bitwiseXOR(F.col("g"))
+    both = rows.join(rows.withColumnRenamed("h", "g"), ["t", "part"]).where((F.col("h") < F.col("g")) & (F.bit_count(x) <= most))
+    return both.select("h", "g", F.bit_count(x).cast("int").alias("distance")).distinct()
+
+
 def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 10) -> DataFrame:
-    """(a, b, distance) of all pairs a < b within ``most`` bits: equal in one of most + 1 bands, each pair from its first."""
-    edges = [64 * i // (most + 1) for i in range(most + 2)]
-    masks = [sum(1 << k for k in range(i, j)) for i, j in zip(edges, edges[1:])]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.col(bits).bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
-    rows = df.select(F.col(key).alias("k"), F.col(bits).alias("h"), F.inline(cells))
-    a, b = rows.select("band", "part", F.col("k").alias("a"), F.col("h").alias("ha")), rows.select("band", "part", F.col("k").alias("b"), F.col("h").alias("hb"))
-    x = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.lit(len(signed))
-    for i in range(len(signed) - 1, -1, -1):
-        first = F.when(x.bitwiseAND(F.lit(signed[i])) == 0, F.lit(i)).otherwise(first)
-    return a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= most) & (first == F.col("band"))).select("a", "b", F.bit_count(x).cast("int").alias("distance"))
+    """(a, b, distance) of all pairs a < b within ``most`` bits. Distinct hashes are searched; only pairs that are asked for are written out."""
+    rows = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h"))
+    near = near_hashes(rows.select("h").distinct(), most)
+    a, b = rows.select(F.col("k").alias("a"), "h"), rows.select(F.col("k").alias("b"), F.col("h").alias("g"))
+    apart = near.join(a, "h").join(b, "g").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    equal = a.join(b, F.col("h") == F.col("g")).where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return apart.unionByName(equal)
 
 
 def greedy_duplicates(pairs: DataFrame) -> DataFrame:
-    """(key, kept_by): rows removed by the rule that a kept row removes all later ones near it, in order of key.
+    """(key, kept_by): rows removed by the rule that a kept row removes all later ones near it, in order of key; the first kept row near each.
 
-    A row is decided once all its earlier partners are; rounds go on until none is open,
-    so the order of decisions is the greedy one without visiting rows one by one.
+    In each round the open rows without an open earlier partner are kept and those near
+    them go, so the order of decisions is the greedy one without visiting rows one by one.
+    Every round is a checkpoint of the pairs that are still open.
     """
-    edges = pairs.select("a", "b").cache()
-    decided = edges.select(F.col("a").alias("k")).distinct().join(edges.select(F.col("b").alias("k")).distinct(), "k", "left_anti").withColumn("kept", F.lit(True)).withColumn("kept_by", F.lit(None).cast("long")).cache()
-    while True:
-        open_ = edges.join(decided.select(F.col("k").alias("b")), "b", "left_anti")
-        if open_.isEmpty():
-            break
-        state = open_.join(decided.select(F.col("k").alias("a"), "kept"), "a", "left").groupBy("b").agg(F.min(F.when(F.col("kept"), F.col("a"))).alias("by"), F.sum(F.col("kept").isNull().cast("int")).alias("waits"))
-        new = state.where(F.col("by").isNotNull() | (F.col("waits") == 0)).select(F.col("b").alias("k"), F.col("by").isNull().alias("kept"), F.col("by").alias("kept_by"))
-        decided = decided.unionByName(new).cache()
-        decided.count()
-    return decided.where(~F.col("kept")).select(F.col("k").alias("key"), "kept_by")
+    whole = settled(pairs.select("a", "b").distinct())
+    open_, gone = whole, None
+    while not open_.isEmpty():
+        kept = open_.select(F.col("a").alias("k")).distinct().join(open_.select(F.col("b").alias("k")), "k", "left_anti")
+        out = settled(open_.join(kept.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("key")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = open_.join(kept.withColumnRenamed("k", "a"), "a", "left_anti")
+        for side in ("a", "b"):
+            left = left.join(out.withColumnRenamed("key", side), side, "left_anti")
+        open_ = settled(left.select("a", "b"))
+    if gone is None:
+        return whole.select(F.col("b").alias("key"), F.col("a").alias("kept_by"))
+    by_kept = whole.join(gone.withColumnRenamed("key", "a"), "a", "left_anti")
+    return by_kept.join(gone.withColumnRenamed("key", "b"), "b", "left_semi").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("kept_by"))
 
 
 def _shape(row) -> np.ndarray:
@@ -223,12 +266,12 @@ def _one(x: np.ndarray, step: Step, rng: np.random.Generator) -> np.ndarray:
     if name == "flip":
         return rasters.flip(x)
     if name == "rotate":
-        return rasters.rotate(x, *(given or [float(rng.uniform(-30, 30))]))
+        return rasters.rotate(x, *(given or [float(rng.uniform(-180, 180))]))
     if name == "crop":
         return rasters.crop(x, *(given or [0.8]), rng)
     if name == "noise":
-        return rasters.noise(x, *(given or [0, 15]), rng)
-    return rasters.adjust(x, *(given or [float(rng.uniform(0.8, 1.2)), float(rng.uniform(-20, 20))]))
+        return rasters.noise(x, *(given or [0, float(rng.uniform(10, 30))]), rng)
+    return rasters.adjust(x, *(given or [float(rng.uniform(0.8, 1.2)), float(rng.uniform(-30, 30))]))
 
 
 def run_pipeline(x: np.ndarray, names: list[Step] | tuple[Step, ...], seed: int) -> np.ndarray:

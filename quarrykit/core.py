@@ -107,6 +107,19 @@ def stratified_folds(df: DataFrame, stratum: str, k: int, keys: list[str], seed:
     return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("int"))
 
 
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The columns of ``right`` in the rows of ``left``, NULL where it has no such key; rows only in ``right`` go. Keys of ``right`` are distinct."""
+    return left.select(key).join(right, key, "left")
+
+
+def side_by_side(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """All columns of two tables with the same distinct keys, one row a key in either; clashing names raise."""
+    clash = sorted((set(a.columns) & set(b.columns)) - {key})
+    if clash:
+        raise ValueError(f"columns in both tables: {', '.join(clash)}")
+    return a.join(b, key, "full")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """A broadcast hint only for a side that is counted and found small; else the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

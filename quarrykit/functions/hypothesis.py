@@ -153,6 +153,29 @@ def shapiro_test(df: DataFrame, column: str, keys: list[str], alpha: float = 0.0
     return _one(df.sparkSession, n=len(rows), statistic=w, p_value=p, normal=bool(p > alpha))
 
 
+def normality(df: DataFrame, columns: list[str] | None, keys: list[str], ignore: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """(column, test, n, p_value, normal) of each numeric column: Shapiro-Wilk below 5000 values, else D'Agostino; fewer than 3 values are left out."""
+    names = [c for c in columns or numeric_columns(df) if c not in {*keys, *(ignore or [])}]
+    counts = df.agg(*[F.count(finite(c)).alias(c) for c in names]).first() if names else {}
+    rows = []
+    for c in names:
+        if counts[c] >= 3:
+            small = counts[c] < SHAPIRO_ROWS
+            p = (shapiro_test(df, c, keys) if small else dagostino_k2(df, c)).first()["p_value"]
+            rows.append((c, "shapiro" if small else "dagostino", counts[c], p, p is not None and p > alpha))
+    return df.sparkSession.createDataFrame(rows, "column string, test string, n long, p_value double, normal boolean")
+
+
+def ks_by_channel(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(channel, n1, n2, d) of the samples of rasters before and after a change: rows (channel, value)."""
+    out = None
+    for c in sorted(r[0] for r in before.select("channel").distinct().collect()):
+        one = ks_statistic(before.where(F.col("channel") == c).select("value"), after.where(F.col("channel") == c).select("value"))
+        one = one.select(F.lit(c).cast("long").alias("channel"), "n1", "n2", "d")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mcar_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
     """(pattern, n, missing): rows by which columns are null, written 0 and 1 in column order."""
     pattern = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])

@@ -196,3 +196,30 @@ def noise(x: np.ndarray, mean: float, deviation: float, rng: np.random.Generator
 
 def adjust(x: np.ndarray, alpha: float, beta: float) -> np.ndarray:
     return np.minimum(255, np.abs(np.round(alpha * x.astype(float) + beta)))
+
+
+def softmax_epochs(x: np.ndarray, y: np.ndarray, n: int, train: np.ndarray, test: np.ndarray, epochs: int, rate: float, rng: np.random.Generator, batch: int = 32) -> list[tuple[float, float, float, float]]:
+    """Accuracy and weighted precision, recall and F1 on ``test`` after each epoch of softmax regression by stochastic gradients; the rate falls to a fifth when the loss stops falling."""
+    mean, sd = x[train].mean(0), x[train].std()
+    z = (x - mean) / (sd or 1.0)
+    w, b, out, best = np.zeros((x.shape[1], n)), np.zeros(n), [], math.inf
+    for _ in range(epochs):
+        order, loss = rng.permutation(train), 0.0
+        for i in range(0, len(order), batch):
+            rows = order[i : i + batch]
+            s = z[rows] @ w + b
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            loss -= np.log(p[np.arange(len(rows)), y[rows]] + 1e-12).sum()
+            p[np.arange(len(rows)), y[rows]] -= 1
+            w -= rate * (z[rows].T @ p + 1e-4 * w)
+            b -= rate * p.sum(axis=0)
+        rate, best = (rate / 5 if loss > best - 1e-3 * len(train) else rate), min(best, loss)
+        guess, truth = np.argmax(z[test] @ w + b, axis=1), y[test]
+        hit = np.bincount(truth[guess == truth], minlength=n).astype(float)
+        held, said = np.bincount(truth, minlength=n), np.bincount(guess, minlength=n)
+        precision, recall = hit / np.maximum(said, 1), hit / np.maximum(held, 1)
+        f1 = np.where(precision + recall > 0, 2 * precision * recall / np.where(precision + recall > 0, precision + recall, 1), 0)
+        share = held / max(1, len(truth))
+        out.append((float(hit.sum() / max(1, len(truth))), float(precision @ share), float(recall @ share), float(f1 @ share)))
+    return out

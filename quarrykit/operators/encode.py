@@ -181,3 +181,9 @@ def compare(encoded: dict[str, DataFrame], threshold: float = 10.0) -> DataFrame
 
 def explained_ratio(vif_table: DataFrame) -> DataFrame:
     return vif_table.withColumn("explained", F.when(F.col("vif") == float("inf"), 1.0).otherwise(1 - 1 / F.col("vif")))
+
+
+def vif_summary(vif_table: DataFrame) -> DataFrame:
+    """How many features there are, reach 5, reach 10 (infinite ones count) and are infinite."""
+    v = F.col("vif")
+    return vif_table.agg(F.count("*").alias("n_features"), *[F.coalesce(F.sum((v >= k).cast("long")), F.lit(0)).alias(f"n_{k}") for k in (5, 10)], F.coalesce(F.sum((v == float("inf")).cast("long")), F.lit(0)).alias("n_infinite"))

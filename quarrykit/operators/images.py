@@ -7,6 +7,7 @@ pandas functions. Every random choice depends on the row's key and a seed only.
 from __future__ import annotations
 
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -367,6 +368,76 @@ def color_space_scores(df: DataFrame, key: str, label: str, spaces: tuple[str, .
     return df.sparkSession.createDataFrame(rows, "space string, variance_ratio double, weighted_precision double, weighted_recall double, weighted_f1 double")
 
 
+def resize_ablation(df: DataFrame, key: str, label: str, sizes: tuple[int, ...] = (128, 64, 32), folds: int = 3, iterations: int = 20, seed: int = SEED) -> DataFrame:
+    """(size, psnr, ssim, accuracy, macro_precision, macro_recall, macro_f1, seconds): quality and cross-validated logistic regression on the pixels at each size."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from ..core import stratified_folds
+    from .metrics import classification_scores
+
+    rows = []
+    for size in sizes:
+        began = time.monotonic()
+        q = quality(df, size).agg(F.avg("psnr"), F.avg("ssim")).first()
+        small = resize(df, size).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform("pixels", lambda v: v / 255)).alias("features"))
+        data = stratified_folds(small, "label", folds, [key], seed).cache()
+        scores = []
+        for i in range(folds):
+            model = LogisticRegression(maxIter=iterations, regParam=0.0001).fit(data.where(F.col("fold") != i))
+            s = classification_scores(model.transform(data.where(F.col("fold") == i)), "label", "prediction").first()
+            scores.append([s[k] for k in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+        data.unpersist()
+        rows.append((size, q[0], q[1], *(float(v) for v in np.mean(scores, axis=0)), time.monotonic() - began))
+    return df.sparkSession.createDataFrame(rows, "size int, psnr double, ssim double, accuracy double, macro_precision double, macro_recall double, macro_f1 double, seconds double")
+
+
+METHODS = ("minmax_01", "minmax_m11", "zscore_global", "zscore_channel")
+EVALUATED_ROWS = 20_000
+
+
+def normalization_curves(df: DataFrame, key: str, label: str, methods: tuple[str, ...] = METHODS, channels: int = 1, components: int = 50, epochs: int = 30, repeats: int = 3, rate: float = 0.01, rows: int = EVALUATED_ROWS, seed: int = SEED) -> DataFrame:
+    """(method, repeat, epoch, accuracy, weighted_precision, weighted_recall, weighted_f1) on a held-out fifth, after each epoch.
+
+    Rasters are normalised and projected to principal components in Spark; each repeat of
+    each method then trains softmax regression by stochastic gradients, one bounded task
+    each, on at most ``rows`` rasters chosen by hash.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from ..core import sample_exact
+
+    chosen = sample_exact(df.select(key, label, "pixels"), rows, [key], seed)
+    data = None
+    for m in methods:
+        normal = normalize(chosen, m, channels=channels).select(key, label, array_to_vector("pixels").alias("raw"))
+        width = len(normal.first()["raw"])
+        scored = PCA(k=min(components, width), inputCol="raw", outputCol="pc").fit(normal).transform(normal)
+        one = scored.select(F.lit(m).alias("method"), F.col(key).cast("long").alias("key"), F.col(label).cast("long").alias("label"), vector_to_array("pc").alias("x"))
+        data = one if data is None else data.unionByName(one)
+    data = data.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
+    names = ["method", "repeat", "epoch", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1"]
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        method, repeat = pdf["method"].iloc[0], int(pdf["repeat"].iloc[0])
+        x, (classes, y) = np.stack(pdf["x"]), np.unique(pdf["label"], return_inverse=True)
+        rng = np.random.default_rng(seed + repeat)
+        order = rng.permutation(len(x))
+        cut = max(1, len(x) // 5)
+        scores = rasters.softmax_epochs(x, y, len(classes), order[cut:], order[:cut], epochs, rate, rng)
+        return pd.DataFrame([(method, repeat, i + 1, *s) for i, s in enumerate(scores)], columns=names)
+
+    return data.groupBy("method", "repeat").applyInPandas(train, "method string, repeat int, epoch int, accuracy double, weighted_precision double, weighted_recall double, weighted_f1 double")
+
+
+def normalization_scores(curves: DataFrame) -> DataFrame:
+    """Means over repeats after the last epoch, by method."""
+    last = curves.groupBy("method", "repeat").agg(F.max_by(F.struct("accuracy", "weighted_precision", "weighted_recall", "weighted_f1"), "epoch").alias("s"))
+    return last.groupBy("method").agg(*[F.avg(f"s.{c}").alias(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1")])
+
+
 def pixel_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, channel, value): one row for each sample."""
     return df.select(*keys, "channels", F.posexplode("pixels").alias("_p", "value")).select(*keys, (F.col("_p") % F.col("channels")).alias("channel"), "value")

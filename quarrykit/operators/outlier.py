@@ -128,13 +128,16 @@ def lof(df: DataFrame, key: str, columns: list[str], k: int = 20) -> DataFrame:
 LOF_LIMIT = 1.5
 
 
-def dbscan_outliers(df: DataFrame, key: str, columns: list[str], eps: float = 1.5, min_samples: int = 10) -> DataFrame:
+def dbscan_outliers(df: DataFrame, key: str, columns: list[str], eps: float = 1.5, min_samples: int = 10, sample_size: int | None = None) -> DataFrame:
     """(key, n_near, is_outlier): outliers lie farther than eps from every core row.
 
+    With ``sample_size`` only so many rows, chosen by hash of the key, are clustered.
+
     Rows are standardised and dealt into cells of side eps; a row meets the rows of its
     own and the neighbouring cells only. A row counts itself among its neighbours.
     """
-    z = standardized(df.select(key, *columns), columns).withColumns({f"_c{i}": F.floor(F.col(c) / F.lit(eps)).cast("long") for i, c in enumerate(columns)})
+    rows = df.select(key, *columns)
+    z = standardized(sample_exact(rows, sample_size, [key]) if sample_size else rows, columns).withColumns({f"_c{i}": F.floor(F.col(c) / F.lit(eps)).cast("long") for i, c in enumerate(columns)})
     cells = [f"_c{i}" for i in range(len(columns))]
     around = z.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)], *cells)
     for c in cells:

@@ -92,6 +92,12 @@ def class_counts(df: DataFrame, c: str) -> DataFrame:
     return j.select("class", "n", (F.col("n") / F.col("_t") * 100).alias("pct"), (F.col("n") / F.col("_lo")).alias("ratio"), (F.col("_hi") > 3 * F.col("_lo")).alias("imbalanced"))
 
 
+def ratio_bands(counts: DataFrame) -> DataFrame:
+    """``class_counts`` with the band of each class's ratio to the smallest: 1-9, 10-100 or >100."""
+    r = F.col("ratio")
+    return counts.withColumn("band", F.when(r < 10, "1-9").when(r <= 100, "10-100").otherwise(">100"))
+
+
 def five_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, minimum, quartiles, maximum and outliers beyond 1.5 interquartile ranges of each group."""
     q = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max(value).alias("max"))

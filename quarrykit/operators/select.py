@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import SEED, sample_exact, stratified_folds
+from ..core import SEED, sample_exact, stratified_folds, stratified_fraction
 from ..functions.hypothesis import anova_f
 from .metrics import classification_scores
 
@@ -176,6 +176,65 @@ def scree(table: DataFrame, thresholds: tuple[float, ...] = (0.90, 0.95, 0.99))
     return out
 
 
+RANKERS = ("anova", "chi2", "mi", "rf", "gb")
+
+
+def k_sweep(df: DataFrame, features: list[str], y: str, keys: list[str], methods: tuple[str, ...] = RANKERS, least: int = 2, folds: int = 5, trees: int = 100) -> DataFrame:
+    """(method, k, features, f1): cross-validated macro-F1 of the k best features of each method, all features as ``baseline``. Equal choices are scored once."""
+    known: dict[tuple[str, ...], float] = {}
+
+    def score(chosen: list[str]) -> float:
+        if tuple(chosen) not in known:
+            known[tuple(chosen)] = cross_validated_f1(df, chosen, y, keys, folds, trees)
+        return known[tuple(chosen)]
+
+    rows = [("baseline", len(features), list(features), score(list(features)))]
+    for m in methods:
+        ranked = ranking(df, features, y, m, keys, trees)
+        for k in range(least, len(features) + 1):
+            chosen = [f for f in features if f in ranked[:k]]
+            rows.append((m, k, chosen, score(chosen)))
+    return df.sparkSession.createDataFrame(rows, "method string, k long, features array<string>, f1 double")
+
+
+def ranking(df: DataFrame, features: list[str], y: str, method: str, keys: list[str], trees: int = 100) -> list[str]:
+    """All features by falling score of one method."""
+    if method in ("rf", "gb"):
+        scores = model_scores(df, features, y, method, trees=trees)
+    else:
+        scores = mutual_information(df, features, y, keys) if method == "mi" else STATISTICAL[method](df, features, y)
+    return [r["feature"] for r in scores.orderBy(F.desc_nulls_last("score"), "feature").collect()]
+
+
+def best_k(sweep: DataFrame) -> DataFrame:
+    """(method, best_k, f1): the smallest k of the best score of each method."""
+    top = F.max(F.struct("f1", (-F.col("k")).alias("k")))
+    return sweep.groupBy("method").agg(top.alias("t")).select("method", (-F.col("t.k")).alias("best_k"), F.col("t.f1").alias("f1"))
+
+
+def score_table(df: DataFrame, features: list[str], y: str, methods: tuple[str, ...] = ("anova", "chi2")) -> DataFrame:
+    """(feature, one column a statistical score); chi-square sees features scaled to 0..1."""
+    ends = df.agg(*[x for f in features for x in (F.min(f).cast("double").alias(f"lo_{f}"), F.max(f).cast("double").alias(f"hi_{f}"))]).first()
+    unit = df.select(y, *[((F.col(f).cast("double") - F.lit(ends[f"lo_{f}"])) / F.lit((ends[f"hi_{f}"] - ends[f"lo_{f}"]) or 1.0)).alias(f) for f in features])
+    out = None
+    for m in methods:
+        one = STATISTICAL[m](unit if m == "chi2" else df, features, y).withColumnRenamed("score", m)
+        out = one if out is None else out.join(one, "feature")
+    return out
+
+
+def feature_space(df: DataFrame, key: str, features: list[str], label: str, rows: int = 2000, components: int = 50, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components with labels, scree, t-SNE of the leading components) of standardised features, over a sample of ``rows`` in shares of the classes."""
+    n = df.count()
+    if n > rows:
+        df = stratified_fraction(df, label, rows / n, [key], seed).where("in_sample").drop("in_sample")
+    s = df.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
+    z = df.select(key, label, *[((F.col(f) - F.lit(s[f"m_{f}"])) / F.lit(s[f"s_{f}"] or 1.0)).alias(f) for f in features])
+    scores, table = pca(z, features, min(components, len(features)))
+    names = [c for c in scores.columns if c.startswith("component_")]
+    return scores.select(key, label, *names), scree(pca(z, features, len(features))[1]), embed_2d(scores, key, names, seed=seed)
+
+
 TSNE_ROWS = 1000
 
 

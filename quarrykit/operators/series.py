@@ -54,6 +54,16 @@ def log_offset(df: DataFrame, y: str) -> float:
     return abs(low) + 1 if low is not None and low <= 0 else 0.0
 
 
+#: Points of one series that the driver takes.
+MOST_POINTS = 1_000_000
+
+
+def _points(df: DataFrame) -> DataFrame:
+    if df.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"a series has more than {MOST_POINTS} points: aggregate it first")
+    return df
+
+
 def transform_stationary(df: DataFrame, y: str, method: str, w) -> DataFrame:
     """Adds {y}_diff_1, {y}_diff_2, {y}_log or {y}_boxcox."""
     name = f"{y}_{method}"
@@ -64,7 +74,7 @@ def transform_stationary(df: DataFrame, y: str, method: str, w) -> DataFrame:
     if method == "log":
         return df.withColumn(name, F.log(x))
     if method == "boxcox":
-        lam = kernels.boxcox_lambda(np.array([r[0] for r in df.where(F.col(y).isNotNull()).select(x).collect()]))  # one daily series
+        lam = kernels.boxcox_lambda(np.array([r[0] for r in _points(df.where(F.col(y).isNotNull()).select(x)).collect()]))
         return df.withColumn(name, F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam))
     raise ValueError(f"unknown method {method}")
 
@@ -226,7 +236,7 @@ def stationarity(df: DataFrame, test: str, y: str = "y", time: str = "d", entity
 
 def granger_matrix(df: DataFrame, variables: list[str], time: str = "d", max_lag: int = 5, alpha: float = 0.05, stat: str = "ssr_chi2test") -> DataFrame:
     """(cause, effect, best_lag, p_value, significant) of every ordered pair, a pair a task."""
-    rows = [tuple(r) for r in df.select(time, *variables).dropna().orderBy(time).collect()]  # one daily series
+    rows = [tuple(r) for r in _points(df.select(time, *variables).dropna()).orderBy(time).collect()]
     data = {v: np.array([r[i + 1] for r in rows], dtype=float) for i, v in enumerate(variables)}
     spark = df.sparkSession
     pairs = spark.createDataFrame(list(permutations(variables, 2)), "cause string, effect string")
@@ -244,6 +254,41 @@ def granger_matrix(df: DataFrame, variables: list[str], time: str = "d", max_lag
     return pairs.groupBy("cause", "effect").applyInPandas(run, "cause string, effect string, best_lag long, p_value double, significant boolean")
 
 
+def granger_forms(matrix: DataFrame, variables: list[str], value: str) -> DataFrame:
+    """A matrix of causes (rows) by effects (columns) of p_value, best_lag or significant; the diagonal is NULL, or 0 for significant."""
+    x = F.col(value).cast("int") if value == "significant" else F.col(value)
+    named = matrix.select("cause", "effect", x.alias("x"))
+    whole = matrix.sparkSession.createDataFrame([(v,) for v in variables], "cause string")
+    cells = named.groupBy("cause").agg(*[F.max(F.when(F.col("effect") == v, F.col("x"))).alias(v) for v in variables])
+    out = whole.join(cells, "cause", "left")
+    return out.withColumns({v: F.coalesce(F.col(v), F.lit(0)) for v in variables}) if value == "significant" else out
+
+
+def guarded(df: DataFrame, test: str, y: str, time: str = "d", alpha: float = 0.05) -> DataFrame:
+    """``stationarity`` with a status instead of an error: ok, missing column, too short or constant."""
+    missing = [c for c in (y, time) if c not in df.columns]
+    if missing:
+        rows = [(test, None, None, None, None, None, f"missing column {missing[0]}")]
+        return df.sparkSession.createDataFrame(rows, "test string, n long, statistic double, p_value double, lags long, stationary boolean, status string")
+    out = stationarity(df, test, y, time, alpha=alpha)
+    return out.withColumn("status", F.when(F.col("statistic").isNotNull(), "ok").when(F.col("n") < 10, "too short").otherwise("constant"))
+
+
+def flagged_by_feature(features: dict[str, DataFrame], methods: tuple[str, ...] = ("z-score", "iforest", "stl"), **settings) -> DataFrame:
+    """(feature, method, n): flagged days of each series by each method, for a heat map."""
+    out = None
+    for name, df in features.items():
+        for m in methods:
+            one = anomalies(df, m, **settings).agg(F.lit(name).alias("feature"), F.lit(m).alias("method"), F.coalesce(F.sum(F.col("is_anomaly").cast("long")), F.lit(0)).alias("n"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def top_days(df: DataFrame, score: str = "score", k: int = 5, time: str = "d") -> DataFrame:
+    """The k rows of the largest absolute score, with the name of the day."""
+    return df.withColumn("day_name", F.date_format(time, "EEEE")).orderBy(F.desc(F.abs(score)), time).limit(k)
+
+
 def significant_pairs(matrix: DataFrame) -> DataFrame:
     return matrix.where("significant").orderBy("p_value", "cause", "effect")
 
@@ -313,7 +358,7 @@ def feature_matrix(df: DataFrame, y: str = "y", time: str = "d", entity: str | N
     return df.withColumns(cols).dropna()
 
 
-def forecast(matrix: DataFrame, horizon: int = 1, y: str = "y", time: str = "d", ratio: float = 0.8, trees: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def forecast(matrix: DataFrame, horizon: int = 1, y: str = "y", time: str = "d", ratio: float = 0.8, trees: int = 100, seed: int = 42, max_depth: int = 8, min_samples_leaf: int = 1, model_kwargs: dict | None = None, features: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Random-forest regression on the first share of the days: (scores, predictions of the rest)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -321,12 +366,24 @@ def forecast(matrix: DataFrame, horizon: int = 1, y: str = "y", time: str = "d",
     from .metrics import regression_scores
 
     target = f"target_t_plus_{horizon}"
-    features = [c for c, k in matrix.dtypes if c not in (target, time) and k in ("double", "int", "bigint", "float")]
+    if features is None:
+        features = [c for c, k in matrix.dtypes if c not in (target, time) and k in ("double", "int", "bigint", "float")]
+    require(matrix, target, time, *features)
     data = temporal_split(matrix, over(None, time), ratio)
     data = VectorAssembler(inputCols=features, outputCol="features").transform(data).select(time, F.col(target).alias("label"), "features", "is_train")
     train, test = data.where("is_train"), data.where("not is_train")
     if train.isEmpty() or test.isEmpty():
         raise ValueError("both sides of the split need rows")
-    model = RandomForestRegressor(numTrees=trees, maxDepth=8, seed=seed).fit(train)
-    predicted = model.transform(test).select(time, "label", "prediction")
+    settings = {"numTrees": trees, "maxDepth": max_depth, "minInstancesPerNode": min_samples_leaf, "seed": seed, **(model_kwargs or {})}
+    predicted = RandomForestRegressor(**settings).fit(train).transform(test).select(time, "label", "prediction")
     return regression_scores(predicted, "label", "prediction"), predicted
+
+
+def forecast_series(df: DataFrame, target: str, time: str, entity: str | None = None, entity_value: str | None = None, aggregation: str = "sum", horizon: int = 1, ratio: float = 0.8, max_lags: int = 40, windows: tuple[int, ...] = (3, 7, 14, 30), period: int = 7, seed: int = 42, trees: int = 300, max_depth: int | None = None, min_samples_leaf: int = 1, model_kwargs: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From a raw table to a forecast: (matrix, scores, predictions). Lags reach to the largest significant partial autocorrelation."""
+    y = daily(df, time, target, entity, entity_value, aggregation)
+    y = y.groupBy("d").agg(AGGREGATES[aggregation]("y").alias("y")) if entity else y
+    lags = lag_order(y, over(), most=max_lags)
+    matrix = feature_matrix(y, lags=lags, windows=windows, horizon=horizon, trend_period=period)
+    scores, predicted = forecast(matrix, horizon, ratio=ratio, trees=trees, seed=seed, max_depth=30 if max_depth is None else max_depth, min_samples_leaf=min_samples_leaf, model_kwargs=model_kwargs)
+    return matrix, scores, predicted

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import frame_queries, image_queries, series_queries, table_queries  # noqa: F401
+    from . import experiment_queries, frame_queries, image_queries, relational_queries, series_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

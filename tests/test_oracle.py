@@ -12,7 +12,7 @@ from quarrykit.plans import catalogue
 from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"select_rfecv", "resample_comparison", "img_augmentation_experiment", "img_color_space_scores", "outlier_nine_methods", "img_edge_density"}
+SLOW = {"select_rfecv", "resample_comparison", "img_augmentation_experiment", "img_color_space_scores", "outlier_nine_methods", "img_edge_density", "select_k_sweep", "select_best_k", "img_resize_ablation", "img_normalization_curves", "img_normalization_scores"}
 
 
 @pytest.fixture(scope="module")

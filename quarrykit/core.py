@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 SEED = 42
+#: Bits of the hash by which strata are cut for numbering: 1024 parts each.
+PART_BITS = 10
 
 
 def session(name: str = "quarrykit", cores: int | str = "*", shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -89,11 +91,27 @@ def sample_exact(df: DataFrame, n: int, keys: list[str], seed: int = SEED) -> Da
     return df.orderBy(hash_order(keys, seed), *keys).limit(n)
 
 
+def hash_rank(df: DataFrame, stratum: str | None, keys: list[str], seed: int = SEED, name: str = "rank") -> DataFrame:
+    """``df`` with each row's place, from 0, in hash order of its keys within its stratum, and with ``name``_of, the stratum's rows.
+
+    A stratum is cut by the first bits of the hash, so a class that holds most rows is
+    numbered by many tasks; what stands before each part is a small table.
+    """
+    own = F.col(stratum) if stratum else F.lit(0)
+    placed = df.withColumns({"_h": hash_order(keys, seed), "_s": own}).withColumn("_part", F.shiftright("_h", 64 - PART_BITS))
+    counts = placed.groupBy("_s", "_part").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy("_s")
+    before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col("_s").alias("_s2"), F.col("_part").alias("_part2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(f"{name}_of"))
+    inside = F.row_number().over(W.partitionBy("_s", "_part").orderBy("_h", *keys)) - 1
+    joined = placed.withColumn("_in", inside).join(broadcast_if_small(starts), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_part") == F.col("_part2")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_h", "_s", "_part", "_s2", "_part2", "_before", "_in")
+
+
 def stratified_fraction(df: DataFrame, stratum: str, fraction: float, keys: list[str], seed: int = SEED) -> DataFrame:
     """``in_sample`` is true for round(n * fraction) rows of each stratum."""
-    order = W.partitionBy(stratum).orderBy(hash_order(keys, seed), *keys)
-    n = F.count("*").over(W.partitionBy(stratum))
-    return df.withColumn("in_sample", F.row_number().over(order) <= F.round(n * fraction))
+    ranked = hash_rank(df, stratum, keys, seed, "_rank")
+    return ranked.withColumn("in_sample", F.col("_rank") < F.round(F.col("_rank_of") * fraction)).drop("_rank", "_rank_of")
 
 
 def fold_of(keys: list[str], k: int) -> Column:
@@ -103,8 +121,7 @@ def fold_of(keys: list[str], k: int) -> Column:
 
 
 def stratified_folds(df: DataFrame, stratum: str, k: int, keys: list[str], seed: int = SEED) -> DataFrame:
-    order = W.partitionBy(stratum).orderBy(hash_order(keys, seed), *keys)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("int"))
+    return hash_rank(df, stratum, keys, seed, "_rank").withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank", "_rank_of")
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..core import finite, numeric_columns, sample_exact
 from .distributions import chi2_sf, f_sf, ks_p, normal_cdf, normal_ppf
-from .order import cumulative
+from .order import cumulative, grouped_quantiles
 
 
 def _one(spark: SparkSession, **values) -> DataFrame:
@@ -77,11 +77,11 @@ def levene_w(df: DataFrame, value: str, group: str, center: str = "median", by:
     rows = df.where(finite(value).isNotNull()).select(*by, group, finite(value).alias("_x"))
     keys = [*by, group]
     if center == "median":
-        centers = rows.groupBy(*keys).agg(F.percentile("_x", F.lit(0.5)).alias("_c"))
+        centers = grouped_quantiles(rows, keys, "_x", [0.5]).select(*keys, F.col("q")[0].alias("_c"))
     elif center == "mean":
         centers = rows.groupBy(*keys).agg(F.avg("_x").alias("_c"))
     elif center == "trimmed":
-        ends = rows.groupBy(*keys).agg(F.percentile("_x", F.array(F.lit(trim), F.lit(1 - trim))).alias("_e"))
+        ends = grouped_quantiles(rows, keys, "_x", [trim, 1 - trim], "_e")
         near = rows.join(F.broadcast(ends), keys).where((F.col("_x") >= F.col("_e")[0]) & (F.col("_x") <= F.col("_e")[1]))
         centers = near.groupBy(*keys).agg(F.avg("_x").alias("_c"))
     else:

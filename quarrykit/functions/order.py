@@ -6,11 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 #: Distinct values whose quantiles cut the order into ranges, and ranges at most.
 CUT_SAMPLE, MOST_RANGES = 4096, 1024
 #: Rows up to which exact percentiles are one aggregate, whose state holds the distinct values.
 EXACT_ROWS = 2_000_000
+#: Groups whose quantiles are found one by one.
+MOST_GROUPS = 200
 
 
 def cuts(df: DataFrame, order: str, ranges: int) -> list:
@@ -78,6 +81,25 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[flo
     return {c: _at_ranks(df, x, probabilities) for c, x in columns.items()}
 
 
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], name: str = "q") -> DataFrame:
+    """(by, name): an array of exact quantiles of each group. Large tables of few groups are counted group by group as in ``quantiles``."""
+    at = F.array(*[F.lit(float(p)) for p in probabilities])
+    simple = df.groupBy(*by).agg(F.percentile(value, at).alias(name))
+    if df.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS:
+        return simple
+    groups = df.select(*by).distinct().limit(MOST_GROUPS + 1).collect()
+    if len(groups) > MOST_GROUPS:
+        return simple  # many groups: each holds a part of the values only
+    rows = []
+    for g in groups:
+        own = F.lit(True)
+        for c in by:
+            own = own & F.col(c).eqNullSafe(F.lit(g[c]))
+        rows.append((*g, _at_ranks(df.where(own), F.col(value), probabilities)))
+    fields = [df.schema[c] for c in by] + [T.StructField(name, T.ArrayType(T.DoubleType()))]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
 def _at_ranks(df: DataFrame, x: Column, probabilities: list[float]) -> list[float] | None:
     counts = df.select(x.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0]

@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..core import SEED, hash_order, settled
+from ..core import SEED, hash_rank, settled
 from ..functions import rasters
 
 #: Block tables of a Hamming search at most.
@@ -302,8 +301,7 @@ def augment(df: DataFrame, key: str, label: str, target: int | None = None, keep
     """Classes below ``target`` (the largest by default) are filled up by sources taken in turn; adds copy (0: original)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     high = target or counts.agg(F.max("_n")).first()[0] or 0
-    at = F.row_number().over(W.partitionBy(label).orderBy(hash_order([key], seed), key)) - 1
-    placed = df.withColumn("_at", at).join(F.broadcast(counts), label)
+    placed = hash_rank(df, label, [key], seed, "_at").drop("_at_of").join(F.broadcast(counts), label)  # a row a class
     need = F.greatest(F.lit(0), F.lit(high) - F.col("_n"))
     times = F.floor(need / F.col("_n")).cast("int") + (F.col("_at") < need % F.col("_n")).cast("int")
     copies = placed.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).withColumn("_seed", F.xxhash64(key, "copy", F.lit(seed)))

@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import any_of, numeric_columns, sample_exact
-from ..functions.order import quantiles
+from ..core import any_of, numeric_columns, sample_exact, settled
+from ..functions.order import MOST_RANGES, cuts, quantiles, range_of
+
+#: Dimensions that order blocks in space.
+CURVE_DIMS = 8
 
 
 def _imputed(c: str, mean: float | None) -> Column:
@@ -80,38 +83,86 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (_imputed(c, fit[c][0]) - F.lit(fit[c][0])) / F.lit(fit[c][1] or 1.0) for c in columns})
 
 
+def _curve(x: list[Column], low: list[float], high: list[float]) -> Column:
+    """The place of a point on a Z-order curve over the first ``CURVE_DIMS`` dimensions, so that neighbours in order are near in space."""
+    x, bits = x[:CURVE_DIMS], 60 // min(len(x), CURVE_DIMS)
+    bits = min(bits, 16)
+    cells = [F.least(F.lit((1 << bits) - 1), F.greatest(F.lit(0), F.floor((v - F.lit(a)) / F.lit((b - a) or 1.0) * F.lit(float(1 << bits))))).cast("long") for v, a, b in zip(x, low, high)]
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        for i, c in enumerate(cells):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long")), k * len(cells) + i))
+    return out
+
+
+def _best(mine, theirs, k: int) -> pd.DataFrame:
+    """(key, mate, dist) of the k best of ``theirs`` for each of ``mine``, both lists of (id, point)."""
+    ids, x = np.array([r[0] for r in mine]), np.array([r[1] for r in mine])
+    mates, y = np.array([r[0] for r in theirs]), np.array([r[1] for r in theirs])
+    by_mate = np.argsort(mates, kind="stable")
+    mates, y = mates[by_mate], y[by_mate]
+    d = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d += (x[:, j, None] - y[None, :, j]) ** 2
+    d = np.round(d, 9)
+    d[ids[:, None] == mates[None, :]] = np.inf
+    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(d, top, axis=1)
+    ok = np.isfinite(best)
+    return pd.DataFrame({"key": np.repeat(ids, ok.sum(axis=1)), "mate": mates[top][ok], "dist": np.sqrt(best[ok])})
+
+
 def nearest(df: DataFrame, key: str, columns: list[str], k: int, other: DataFrame | None = None, block_rows: int = 2048) -> DataFrame:
     """Exact k nearest rows: (key, rank, mate, dist), ties (squares equal to 9 places) by mate.
 
-    Blocks of ``other`` (at most ``block_rows``) meet each batch of ``df``, keep their k
-    best, and the blocks' bests are ranked by key. Work is quadratic as exact search in
-    any dimension is; memory is a block by a batch.
+    Rows are dealt into blocks along a space-filling curve. Each block first meets its own
+    part of ``other``, which bounds how far its rows' k nearest can be; then it meets only
+    those blocks whose box is no farther than that. In many dimensions boxes overlap and the
+    work is quadratic, as exact search there is; memory is a block by a block.
     """
     others = other if other is not None else df
-    n = others.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = others.select(F.col(key).alias("_mate"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_y"))
-    packed = rows.withColumn("_block", F.pmod(F.xxhash64("_mate"), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct("_mate", "_y")).alias("_rows"))
-    left = df.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")).withColumn("_cell", F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(blocks)).cast("int")).groupBy("_cell").agg(F.collect_list(F.struct("_key", "_x")).alias("_left"))
+    point = F.array(*[F.col(c).cast("double") for c in columns])
+    ends = others.agg(F.count("*").alias("n"), *[x for i, c in enumerate(columns) for x in (F.min(F.col(c).cast("double")).alias(f"a{i}"), F.max(F.col(c).cast("double")).alias(f"b{i}"))]).first()
+    ranges = max(1, min(MOST_RANGES, -(-ends["n"] // block_rows)))
+    parts = max(1, -(-ends["n"] // (ranges * block_rows)))
+    low, high = ([ends[f"{s}{i}"] or 0.0 for i in range(len(columns))] for s in "ab")
+    place = _curve([F.col("_p")[i] for i in range(len(columns))], low, high)
+    theirs = others.select(F.col(key).cast("long").alias("_id"), point.alias("_p")).withColumn("_z", place)
+    bounds = cuts(theirs.select("_z").distinct(), "_z", ranges)
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        block = range_of(F.col("_z"), bounds) * F.lit(parts) + F.pmod(F.xxhash64("_id"), F.lit(parts))
+        box = [x for i in range(len(columns)) for x in (F.min(F.col("_p")[i]).alias(f"lo{i}"), F.max(F.col("_p")[i]).alias(f"hi{i}"))]
+        return rows.withColumn("block", block.cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_id", "_p"))).alias("rows"), *box)
+
+    mine = settled(blocks(df.select(F.col(key).cast("long").alias("_id"), point.alias("_p")).withColumn("_z", place)))
+    index = settled(blocks(theirs)) if other is not None else mine
+
+    def reach(batches):
+        for pdf in batches:
+            out = []
+            for block, left, right in zip(pdf["block"], pdf["rows"], pdf["their"]):
+                near = _best([(r["_id"], r["_p"]) for r in left], [(r["_id"], r["_p"]) for r in right], k) if right is not None else pd.DataFrame({"key": [], "dist": []})
+                full = near.groupby("key")["dist"].agg(["size", "max"]) if len(near) else pd.DataFrame({"size": [], "max": []})
+                known = len(full) == len({r["_id"] for r in left}) and bool((full["size"] >= k).all())
+                out.append((block, float(full["max"].max()) if known else float("inf")))
+            yield pd.DataFrame(out, columns=["block", "reach"])
+
+    own = mine.select("block", "rows").join(index.select("block", F.col("rows").alias("their")), "block", "left")
+    reaches = settled(own.mapInPandas(reach, "block int, reach double"))
+    gaps = [F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"_hi{i}"), F.col(f"_lo{i}") - F.col(f"hi{i}")) for i in range(len(columns))]
+    apart = sum((g * g for g in gaps), F.lit(0.0))
+    here = mine.drop("rows").join(reaches, "block")
+    there = index.drop("rows").select(F.col("block").alias("_block"), *[F.col(f"{e}{i}").alias(f"_{e}{i}") for i in range(len(columns)) for e in ("lo", "hi")])
+    met = here.crossJoin(there).where(apart <= F.col("reach") * F.col("reach") + F.lit(1e-8)).select("block", "_block")  # boxes, not rows
+    pairs = met.join(mine.select("block", "rows"), "block").join(index.select(F.col("block").alias("_block"), F.col("rows").alias("their")), "_block")
 
     def search(batches):
         for pdf in batches:
-            for mine, theirs in zip(pdf["_left"], pdf["_rows"]):
-                ids, x = np.array([r["_key"] for r in mine]), np.array([r["_x"] for r in mine])
-                mates, y = np.array([r["_mate"] for r in theirs]), np.array([r["_y"] for r in theirs])
-                by_mate = np.argsort(mates, kind="stable")
-                mates, y = mates[by_mate], y[by_mate]
-                d = np.zeros((len(x), len(y)))
-                for j in range(x.shape[1]):
-                    d += (x[:, j, None] - y[None, :, j]) ** 2
-                d = np.round(d, 9)
-                d[ids[:, None] == mates[None, :]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(d, top, axis=1)
-                ok = np.isfinite(best)
-                yield pd.DataFrame({"key": np.repeat(ids, ok.sum(axis=1)), "mate": mates[top][ok], "dist": np.sqrt(best[ok])})
-
-    found = left.crossJoin(packed).mapInPandas(search, "key long, mate long, dist double")  # blocks, not rows
+            for left, right in zip(pdf["rows"], pdf["their"]):
+                yield _best([(r["_id"], r["_p"]) for r in left], [(r["_id"], r["_p"]) for r in right], k)
+
+    found = pairs.select("rows", "their").mapInPandas(search, "key long, mate long, dist double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("dist", "mate"))).where(F.col("rank") <= k)
 
 

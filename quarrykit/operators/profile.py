@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import numeric_columns
-from ..functions.order import average_ranks
+from ..functions.order import average_ranks, grouped_quantiles
 
 
 def _rows(cells: list[Column]) -> Column:
@@ -100,7 +100,7 @@ def ratio_bands(counts: DataFrame) -> DataFrame:
 
 def five_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, minimum, quartiles, maximum and outliers beyond 1.5 interquartile ranges of each group."""
-    q = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max(value).alias("max"))
+    q = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max")).join(grouped_quantiles(df, by, value, [0.25, 0.5, 0.75]), by)
     q = q.select(*by, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     out = df.join(F.broadcast(q), by).groupBy(*by).agg(F.sum(((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)).cast("long")).alias("n_outliers"))

@@ -6,27 +6,17 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..core import SEED, hash_order, hash_unit, stratified_fraction
+from ..core import SEED, hash_rank, stratified_fraction
 from .metrics import auc, classification_scores
 from .outlier import nearest
 from .select import assembled
 
 
 def undersample(df: DataFrame, y: str, keys: list[str], seed: int = SEED) -> DataFrame:
-    """Every class at the size of the smallest, rows chosen by hash.
-
-    The cut is found by hash ranges first, so a large class is not sorted whole in one task.
-    """
-    counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}
-    low = min(counts.values(), default=0)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (low + 6 * low**0.5 + 20) / n))]) if counts else None
-    if share is None:
-        return df
-    likely = df.where(hash_unit(keys, seed) <= share[F.col(y)])  # an upper part of the order that surely holds the cut
-    order = W.partitionBy(y).orderBy(hash_unit(keys, seed), hash_order(keys, seed), *keys)
-    return likely.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= low).drop("_at")
+    """Every class at the size of the smallest, the first rows in hash order."""
+    low = df.groupBy(y).count().agg(F.min("count")).first()[0]
+    return hash_rank(df, y, keys, seed, "_at").where(F.col("_at") < F.lit(low or 0)).drop("_at", "_at_of")
 
 
 def _placed(points: DataFrame, mates: DataFrame, k: int, seed: int) -> DataFrame:
@@ -59,8 +49,8 @@ def smote(df: DataFrame, key: str, features: list[str], y: str, k: int = 5, seed
         mates = nearest(own, key, features, k)
         have = mates.groupBy("key").agg(F.count("*").alias("n_mates"))
         base, odd = divmod(high - n, n)
-        numbered = have.withColumn("_at", F.row_number().over(W.orderBy(F.xxhash64("key", F.lit(seed)), "key")))
-        copies = numbered.withColumn("n_new", F.lit(base) + (F.col("_at") <= odd).cast("int")).where("n_new > 0")
+        numbered = hash_rank(have, None, ["key"], seed, "_at")
+        copies = numbered.withColumn("n_new", F.lit(base) + (F.col("_at") < odd).cast("int")).where("n_new > 0")
         points = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_new")))).select("key", "copy", "n_mates")
         out = out.unionByName(_between(_placed(points, mates, k, seed), df, key, features, y))
     return out

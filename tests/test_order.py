@@ -69,3 +69,41 @@ def test_target_without_any_value(spark):
     assert [r["c_target"] for r in encode.target_encode(df, ["c"], "y").collect()] == [None, None]
     fold = F.col("k") % 2
     assert [r["c_target"] for r in encode.target_encode_oof(df, ["c"], "y", fold).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("exact, groups", [(2_000_000, 200), (0, 200), (0, 1)])
+def test_grouped_quantiles_equal_plain(spark, monkeypatch, values, exact, groups):
+    monkeypatch.setattr(order, "EXACT_ROWS", exact)
+    monkeypatch.setattr(order, "MOST_GROUPS", groups)
+    df = spark.createDataFrame([("abc"[i % 3] if i % 3 else None, v) for i, v in enumerate(values)], "g string, v double")
+    got = {r["g"]: r["q"] for r in order.grouped_quantiles(df, ["g"], "v", [0.05, 0.5, 0.9]).collect()}
+    for k, g in ((0, None), (1, "b"), (2, "c")):
+        np.testing.assert_allclose(got[g], np.quantile(values[k::3], [0.05, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_hash_ranks_equal_one_window(spark):
+    from pyspark.sql import Window as W
+
+    from quarrykit import core
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "xy"[i % 2]) for i in range(900)], "k long, g string").repartition(5)
+    w = W.partitionBy("g").orderBy(core.hash_order(["k"]), "k")
+    want = {r["k"]: (r["r"], r["n"]) for r in df.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(W.partitionBy("g"))).collect()}
+    assert {r["k"]: (r["rank"], r["rank_of"]) for r in core.hash_rank(df, "g", ["k"]).collect()} == want
+
+
+@pytest.mark.parametrize("dims, block", [(1, 20), (2, 20), (2, 2048), (5, 40)])
+def test_nearest_equals_plain(spark, dims, block):
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(0, 1, (150, dims)), rng.normal(6, 0.2, (100, dims)), np.round(rng.normal(0, 2, (60, dims)))])
+    names = [f"c{i}" for i in range(dims)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, " + ", ".join(f"{n} double" for n in names))
+    for other in (None, df.where("k % 3 = 0")):
+        pool = [i for i in range(len(x)) if other is None or i % 3 == 0]
+        want = set()
+        for i in range(len(x)):
+            d = sorted((round(float(((x[i] - x[j]) ** 2).sum()), 9), j) for j in pool if j != i)[:4]
+            want |= {(i, r + 1, j) for r, (_, j) in enumerate(d)}
+        got = {(r["key"], r["rank"], r["mate"]) for r in outlier.nearest(df, "k", names, 4, other, block).collect()}
+        assert got == want
+    assert outlier.nearest(df, "k", names, 4, df.where("k < 3"), block).where("key > 5").groupBy("key").count().where("count <> 3").count() == 0

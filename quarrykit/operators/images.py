@@ -131,21 +131,33 @@ def _block_masks(n: int) -> list[int]:
     return [sum(1 << k for k in range(i, j)) for i, j in zip(edges, edges[1:])]
 
 
-def block_tables(most: int, tables: int = MOST_TABLES) -> list[int]:
-    """Masks such that two hashes within ``most`` bits agree under one of them at least: all choices of some of most + k blocks, with the longest keys that ``tables`` allow."""
-    k = 1
-    while most + k + 1 <= 64 and math.comb(most + k + 1, k + 1) <= tables:
-        k += 1
+def block_tables(most: int, n: float, tables: int = MOST_TABLES) -> list[int]:
+    """Masks such that two hashes within ``most`` bits agree under one of them at least.
+
+    They are all choices of k of most + k blocks; of the k that ``tables`` allow the one is
+    taken that makes the fewest rows and, of ``n`` even hashes, candidates.
+    """
+    ways = [(k, math.comb(most + k, k)) for k in range(1, 65 - most) if k == 1 or math.comb(most + k, k) <= tables]
+    k, _ = min(ways, key=lambda w: w[1] * (n + n * n / 2.0 ** (64 * w[0] / (most + w[0]))))
     return [sum(x) for x in combinations(_block_masks(most + k), k)]
 
 
+#: Tables up to which a pair is told from its first common one, instead of by removing repeats.
+FEW_TABLES = 32
+
+
 def near_hashes(hashes: DataFrame, most: int = 10) -> DataFrame:
     """(h, g, distance) of all pairs h < g of the distinct ``hashes(h)`` within ``most`` bits, each once, by permuted block tables."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_tables(most)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_tables(most, hashes.count())]
     cells = F.array(*[F.struct(F.lit(i).alias("t"), F.col("h").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
     rows = hashes.select("h", F.inline(cells))
     x = F.col("h").bitwiseXOR(F.col("g"))
     both = rows.join(rows.withColumnRenamed("h", "g"), ["t", "part"]).where((F.col("h") < F.col("g")) & (F.bit_count(x) <= most))
+    if len(signed) <= FEW_TABLES:
+        first = F.lit(-1)
+        for i in range(len(signed) - 1, -1, -1):
+            first = F.when(x.bitwiseAND(F.lit(signed[i])) == 0, F.lit(i)).otherwise(first)
+        return both.where(first == F.col("t")).select("h", "g", F.bit_count(x).cast("int").alias("distance"))
     return both.select("h", "g", F.bit_count(x).cast("int").alias("distance")).distinct()
 
 

@@ -95,21 +95,25 @@ def _curve(x: list[Column], low: list[float], high: list[float]) -> Column:
     return out
 
 
-def _best(mine, theirs, k: int) -> pd.DataFrame:
-    """(key, mate, dist) of the k best of ``theirs`` for each of ``mine``, both lists of (id, point)."""
-    ids, x = np.array([r[0] for r in mine]), np.array([r[1] for r in mine])
-    mates, y = np.array([r[0] for r in theirs]), np.array([r[1] for r in theirs])
-    by_mate = np.argsort(mates, kind="stable")
-    mates, y = mates[by_mate], y[by_mate]
-    d = np.zeros((len(x), len(y)))
+def _best(ids: np.ndarray, x: np.ndarray, mates: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    """(key, mate, dist) of the k best of ``y`` for each of ``x``; ``mates`` ascend, so ties go to the smaller one."""
+    d = np.zeros((len(ids), len(mates)))
+    x, y = x.reshape(len(ids), -1), y.reshape(len(mates), -1)
     for j in range(x.shape[1]):
         d += (x[:, j, None] - y[None, :, j]) ** 2
     d = np.round(d, 9)
     d[ids[:, None] == mates[None, :]] = np.inf
-    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-    best = np.take_along_axis(d, top, axis=1)
-    ok = np.isfinite(best)
-    return pd.DataFrame({"key": np.repeat(ids, ok.sum(axis=1)), "mate": mates[top][ok], "dist": np.sqrt(best[ok])})
+    if d.shape[1] > k:
+        near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    else:
+        near = np.ones(d.shape, dtype=bool)
+    row, col = np.nonzero(near & np.isfinite(d))
+    far = d[row, col]
+    order = np.lexsort((col, far, row))
+    row, col, far = row[order], col[order], far[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    take = place < k
+    return pd.DataFrame({"key": ids[row[take]], "mate": mates[col[take]], "dist": np.sqrt(far[take])})
 
 
 def nearest(df: DataFrame, key: str, columns: list[str], k: int, other: DataFrame | None = None, block_rows: int = 2048) -> DataFrame:
@@ -133,7 +137,8 @@ def nearest(df: DataFrame, key: str, columns: list[str], k: int, other: DataFram
     def blocks(rows: DataFrame) -> DataFrame:
         block = range_of(F.col("_z"), bounds) * F.lit(parts) + F.pmod(F.xxhash64("_id"), F.lit(parts))
         box = [x for i in range(len(columns)) for x in (F.min(F.col("_p")[i]).alias(f"lo{i}"), F.max(F.col("_p")[i]).alias(f"hi{i}"))]
-        return rows.withColumn("block", block.cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_id", "_p"))).alias("rows"), *box)
+        held = rows.withColumn("block", block.cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_id", "_p"))).alias("rows"), *box)
+        return held.withColumns({"ids": F.transform("rows", lambda r: r["_id"]), "points": F.flatten(F.transform("rows", lambda r: r["_p"]))}).drop("rows")
 
     mine = settled(blocks(df.select(F.col(key).cast("long").alias("_id"), point.alias("_p")).withColumn("_z", place)))
     index = settled(blocks(theirs)) if other is not None else mine
@@ -141,28 +146,29 @@ def nearest(df: DataFrame, key: str, columns: list[str], k: int, other: DataFram
     def reach(batches):
         for pdf in batches:
             out = []
-            for block, left, right in zip(pdf["block"], pdf["rows"], pdf["their"]):
-                near = _best([(r["_id"], r["_p"]) for r in left], [(r["_id"], r["_p"]) for r in right], k) if right is not None else pd.DataFrame({"key": [], "dist": []})
-                full = near.groupby("key")["dist"].agg(["size", "max"]) if len(near) else pd.DataFrame({"size": [], "max": []})
-                known = len(full) == len({r["_id"] for r in left}) and bool((full["size"] >= k).all())
-                out.append((block, float(full["max"].max()) if known else float("inf")))
+            for block, ids, points, mates, others_ in zip(pdf["block"], pdf["ids"], pdf["points"], pdf["mates"], pdf["others"]):
+                near = _best(ids, points, mates, others_, k).groupby("key")["dist"].agg(["size", "max"]) if mates is not None else None
+                known = near is not None and len(near) == len(set(ids.tolist())) and bool((near["size"] >= k).all())
+                out.append((block, float(near["max"].max()) if known else float("inf")))
             yield pd.DataFrame(out, columns=["block", "reach"])
 
-    own = mine.select("block", "rows").join(index.select("block", F.col("rows").alias("their")), "block", "left")
-    reaches = settled(own.mapInPandas(reach, "block int, reach double"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    theirs_ = index.select(F.col("block").alias("_block"), F.col("ids").alias("mates"), F.col("points").alias("others"))
+    own = mine.select("block", "ids", "points").join(theirs_, F.col("block") == F.col("_block"), "left").repartition(tasks, "block")
+    reaches = settled(own.select("block", "ids", "points", "mates", "others").mapInPandas(reach, "block int, reach double"))
     gaps = [F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"_hi{i}"), F.col(f"_lo{i}") - F.col(f"hi{i}")) for i in range(len(columns))]
     apart = sum((g * g for g in gaps), F.lit(0.0))
-    here = mine.drop("rows").join(reaches, "block")
-    there = index.drop("rows").select(F.col("block").alias("_block"), *[F.col(f"{e}{i}").alias(f"_{e}{i}") for i in range(len(columns)) for e in ("lo", "hi")])
+    here = mine.drop("ids", "points").join(reaches, "block")
+    there = index.drop("ids", "points").select(F.col("block").alias("_block"), *[F.col(f"{e}{i}").alias(f"_{e}{i}") for i in range(len(columns)) for e in ("lo", "hi")])
     met = here.crossJoin(there).where(apart <= F.col("reach") * F.col("reach") + F.lit(1e-8)).select("block", "_block")  # boxes, not rows
-    pairs = met.join(mine.select("block", "rows"), "block").join(index.select(F.col("block").alias("_block"), F.col("rows").alias("their")), "_block")
+    pairs = met.join(mine.select("block", "ids", "points"), "block").join(theirs_, "_block").repartition(tasks, "block", "_block")
 
     def search(batches):
         for pdf in batches:
-            for left, right in zip(pdf["rows"], pdf["their"]):
-                yield _best([(r["_id"], r["_p"]) for r in left], [(r["_id"], r["_p"]) for r in right], k)
+            for ids, points, mates, others_ in zip(pdf["ids"], pdf["points"], pdf["mates"], pdf["others"]):
+                yield _best(ids, points, mates, others_, k)
 
-    found = pairs.select("rows", "their").mapInPandas(search, "key long, mate long, dist double")
+    found = pairs.select("ids", "points", "mates", "others").mapInPandas(search, "key long, mate long, dist double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("dist", "mate"))).where(F.col("rank") <= k)
 
 

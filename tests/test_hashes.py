@@ -6,9 +6,10 @@ import pytest
 from quarrykit.operators import images
 
 
+@pytest.mark.parametrize("n", [10, 1e5, 1e9])
 @pytest.mark.parametrize("most", [0, 3, 10, 20])
-def test_block_tables_miss_no_pair(most):
-    tables = images.block_tables(most)
+def test_block_tables_miss_no_pair(most, n):
+    tables = images.block_tables(most, n)
     assert 0 < len(tables) <= images.MOST_TABLES
     rng = np.random.default_rng(most)
     for _ in range(300):
@@ -16,7 +17,9 @@ def test_block_tables_miss_no_pair(most):
         assert any(not x & m for m in tables)
 
 
-def test_pairs_and_greedy_removal_equal_plain(spark):
+@pytest.mark.parametrize("few", [32, 0])
+def test_pairs_and_greedy_removal_equal_plain(spark, monkeypatch, few):
+    monkeypatch.setattr(images, "FEW_TABLES", few)
     rng = np.random.default_rng(9)
     base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 12)]
     hashes = []

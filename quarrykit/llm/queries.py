@@ -26,19 +26,26 @@ def tokenizer_path() -> str:
 
 
 def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents; every fiftieth id also searches all others: n_near, within the radius."""
+    """Fingerprints of all documents; every fiftieth id also searches all others within the radius: n_near, and near_ids.
+
+    Rows of one fingerprint are a class, named after its smallest doc_id; near_ids are the
+    classes found, the own one included, at most as many as there are words of 64 bits
+    within the radius (43 745 for three bits).
+    """
     prints = durable(fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")), "prints")
     asked = prints.where("doc_id % 50 = 0")
     pairs = fingerprints.within_radius(asked, prints)
-    sizes = prints.groupBy(F.col("bits").alias("found")).agg(F.count("*").alias("n"))
-    near = durable(pairs.join(sizes, "found").groupBy(F.col("query").alias("bits")).agg((F.sum("n") - 1).alias("n_near")), "near")
+    sizes = prints.groupBy(F.col("bits").alias("found")).agg(F.count("*").alias("n"), F.min("doc_id").alias("id"))
+    found = (F.sum("n") - 1).alias("n_near"), F.sort_array(F.collect_list("id")).alias("near_ids")
+    near = durable(pairs.join(sizes, "found").groupBy(F.col("query").alias("bits")).agg(*found), "near")
     # equal texts have equal fingerprints, so one of them may stand in a third of all rows
     if near.count() <= BROADCAST_PRINTS:
         counted = prints.join(F.broadcast(near), "bits", "left")
     else:
         copies = near.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(PRINT_COPIES - 1))))
         counted = prints.withColumn("cell", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(PRINT_COPIES)).cast("int")).join(copies, ["bits", "cell"], "left")
-    return counted.select(*[c for c in prints.columns if c != "bits"], F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near"))
+    asked_ = F.col("doc_id") % 50 == 0
+    return counted.select(*[c for c in prints.columns if c != "bits"], *[F.when(asked_, F.col(c)).alias(c) for c in ("n_near", "near_ids")])
 
 
 def op2_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,6 +274,24 @@ def test_radius_search_equals_plain(spark, monkeypatch, crowded):
     assert got == {(a, b) for a in base for b in base if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3}
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_query_of_fingerprints_finds_all_within_the_radius(spark, monkeypatch, tmp_path, plain, broadcast):
+    monkeypatch.setattr(queries, "BROADCAST_PRINTS", broadcast)
+    frame(spark, plain).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op1_simhash_fingerprints(spark, str(tmp_path)).collect()
+    bits = {r["doc_id"]: int(r["fingerprint"], 16) for r in out}
+    classes = {}
+    for doc in sorted(bits):
+        classes.setdefault(bits[doc], doc)
+    for r in out:
+        if r["doc_id"] % 50:
+            assert r["n_near"] is None and r["near_ids"] is None
+        else:
+            near = [d for d, b in bits.items() if bin(b ^ bits[r["doc_id"]]).count("1") <= fingerprints.RADIUS]
+            assert r["n_near"] == len(near) - 1 and r["near_ids"] == sorted({classes[bits[d]] for d in near})
+    assert any(r["n_near"] for r in out)
+
+
 def test_language_held_out_accuracy(spark, rows):
     labelled = [r for r in rows if r[2] and r[1] and any(c.isalpha() for c in r[1]) and r[0] is not None and r[0] < 80]
     df = frame(spark, labelled)

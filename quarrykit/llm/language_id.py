@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_rows, text_bytes, trimmed
 
-FIT_ROWS = 300
+FIT_ROWS = 600
 DIMS = 4096
 #: Bytes of text and number of texts that are turned into vectors at once.
 SLICE_BYTES, SLICE_TEXTS = 1 << 20, 256
@@ -177,11 +177,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(keep, pa.int64())), pa.array([x[k].tobytes() for k in keep], pa.binary())], names=["lang", "x"])
 
     drawn = arrow_rows(rows).where(draw < rate[F.col("lang")]).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
-    drawn.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    langs = np.array([r["lang"] for r in drawn], dtype=object)
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn), np.float16).astype(np.float32).reshape(len(drawn), DIMS)
-    del drawn
-    return LanguageModel(x, langs)
+    with trimmed():
+        drawn.sort(key=lambda r: (r["lang"], bytes(r["x"])))
+        langs = np.array([r["lang"] for r in drawn], dtype=object)
+        x = np.empty((len(drawn), DIMS), dtype=np.float32)
+        for i, r in enumerate(drawn):
+            x[i] = np.frombuffer(r["x"], np.float16)
+        del drawn
+        return LanguageModel(x, langs)
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -25,7 +25,7 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes hashed at once, which bounds the working memory.
-HASH_BYTES = 2_000_000
+HASH_BYTES = 500_000
 
 
 _LOCAL = re.compile(r"local(\[[^\]]*\])?")

@@ -236,21 +236,29 @@ def rare_mates(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     # only shingles at which different components meet, and how many stand at each
     met = heads.groupBy("s", "step").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("held"))
     mixed = met.groupBy("s").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("s")
-    cells = met.join(mixed, "s", "left_semi").select("s", "step", F.ceil(F.col("held") / HEAVY).cast("int").alias("cells"))
-    cells = durable(cells, "cells")
-    many = cells.where("cells > 1")  # less than 1 / HEAVY of the rows, dealt by broadcast where few
-    many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
     # the shorter of a pair shares one of fewer first places, and both leave room for the overlap behind their first common one
     short = heads.where(F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
-    short = short.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1))).join(many, ["s", "step"], "left")
-    short = short.withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
-    mates = heads.select("s", "step", F.col("node").alias("mate"), F.col("n").alias("size"), F.col("at").alias("place"), F.col("own").alias("its")).join(many, ["s", "step"], "left")
-    mates = mates.withColumn("cell", F.pmod(F.xxhash64("mate"), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
-    known = cells.select("s", "step", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    mates = mates.join(known, ["s", "step", "cell"], "left_semi")
+    short = short.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    asked = short.groupBy("s", "step").agg(F.count("*").alias("asked"))
+    parts = lambda n: F.ceil(F.col(n) / HEAVY).cast("int")
+    cells = met.join(mixed, "s", "left_semi").join(asked, ["s", "step"]).select("s", "step", parts("held").alias("cells"), parts("asked").alias("rows"))
+    cells = durable(cells, "cells")
+    many = cells.where("cells > 1 or rows > 1")  # less than 3 / HEAVY of the rows, dealt by broadcast where few
+    many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    one = F.lit(1)
+
+    def dealt(side: DataFrame, name: str, own: str, other: str, id_: str) -> DataFrame:
+        """Each row in one of its side's parts, and in a copy for each part of the other side."""
+        out = side.join(many, ["s", "step"], "left").withColumn(name, F.pmod(F.xxhash64(id_), F.coalesce(own, one)).cast("int"))
+        return out.withColumn({"cell": "row", "row": "cell"}[name], F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("cells", "rows")
+
+    short = dealt(short, "row", "rows", "cells", "node")
+    mates = heads.select("s", "step", F.col("node").alias("mate"), F.col("n").alias("size"), F.col("at").alias("place"), F.col("own").alias("its"))
+    known = cells.select("s", "step", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rows").select("s", "step", "cell", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    mates = dealt(mates, "cell", "cells", "rows", "mate").join(known, ["s", "step", "cell", "row"], "left_semi")
     overlap = F.ceil(percent * (F.col("n") + F.col("size")) / (100 + percent))
     fits = (F.col("n") <= F.col("size")) & (F.col("size") * percent <= F.col("n") * 100) & (F.col("at") <= F.col("n") - overlap) & (F.col("place") <= F.col("size") - overlap)
-    near = short.join(mates, ["s", "step", "cell"]).where((F.col("own") != F.col("its")) & fits)
+    near = short.join(mates, ["s", "step", "cell", "row"]).where((F.col("own") != F.col("its")) & fits)
     return _pairs(near, "node", "mate")
 
 

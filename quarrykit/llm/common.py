@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes hashed at once, which bounds the working memory.
 HASH_BYTES = 500_000
+#: Text bytes that a Python operator works on at once, or one text.
+SLICE_BYTES = 1 << 20
 
 
 _LOCAL = re.compile(r"local(\[[^\]]*\])?")
@@ -88,15 +91,31 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """What this process freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 @contextmanager
 def trimmed():
-    """Around a task's batches in a Python worker: what it freed goes back to the system, as workers outlive tasks."""
+    """Around a task's batches in a Python worker, as workers outlive tasks."""
     try:
         yield
     finally:
-        pa.default_memory_pool().release_unused()
-        if hasattr(_LIBC, "malloc_trim"):
-            _LIBC.malloc_trim(0)
+        trim()
+
+
+def slices(batch: pa.RecordBatch, column: str = "text"):
+    """All rows of ``batch`` in parts of at most ``SLICE_BYTES`` of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(ends):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def arrow_rows(df: DataFrame) -> DataFrame:

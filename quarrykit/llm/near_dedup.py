@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, arrow_rows, discard, documents, durable, mix64, odd_table, text_bytes, trimmed
+from .common import LOWER, Words, arrow_rows, discard, documents, durable, mix64, odd_table, slices, text_bytes, trimmed
 from .components import components
 
 BANDS, ROWS = 56, 7
@@ -114,7 +114,7 @@ def describe(df: DataFrame, length: int, bands: int, rows: int) -> DataFrame:
 
     def one(batches):
         with trimmed():
-            for batch in batches:
+            for batch in (part for given in batches for part in slices(given)):
                 sizes, digest, keys, marks = [], [], [], []
                 for s in shingle_sets(batch.column("text"), length):
                     least = signature(s, bands * rows) if len(s) else None
@@ -178,7 +178,7 @@ class Verifier:
 
         def one(batches):
             with trimmed():
-                for batch in batches:
+                for batch in (part for given in batches for part in slices(given)):
                     sets = shingle_sets(batch.column("text"), length)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "body"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, arrow_rows, documents, durable, text_bytes, trimmed
+from .common import LOWER, arrow_rows, documents, durable, slices, text_bytes, trim, trimmed
 
 CAPACITY = 4096
 END_ID = 1
@@ -146,7 +146,7 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -156,10 +156,11 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
-        self.merger = Tokenizer.from_file(path)  # of runs, which need neither normalizing nor splitting
-        self.merger.normalizer = normalizers.Sequence([])
+        self.merger = Tokenizer(self.tokenizer.model)  # the same model for runs, which need neither normalizing nor splitting
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
+        del stated, vocabulary
+        trim()
 
     def forget(self) -> None:
         self.runs: dict[str, int] = {}
@@ -255,7 +256,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     def cut(batches):
         with trimmed():
             model = encoder(tokenizer_path)
-            for batch in batches:
+            for batch in (part for given in batches for part in slices(given)):
                 ids, lens = model.encode_column(batch.column("text"))
                 stops = np.cumsum(lens)
                 whole = np.insert(ids, stops, np.uint32(end_id)).astype("<u4", copy=False)  # an end id behind each text

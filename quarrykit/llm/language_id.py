@@ -80,31 +80,32 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, float]:
-    """A linear SVM by subgradient steps on the mean hinge loss, both classes weighing the same; returns the averaged weights and bias."""
-    y = np.where(positive, 1.0, -1.0).astype(np.float32)
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    w, b, mean_w, mean_b = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1]), 0.0
+def fit_svm(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, float]:
+    """A linear SVM that tells ``first`` from ``second`` by subgradient steps on the mean hinge loss, both weighing the same; returns the averaged weights and bias."""
+    w, b, mean_w, mean_b = np.zeros(first.shape[1], np.float32), 0.0, np.zeros(first.shape[1]), 0.0
+    own, other = np.float32(0.5 / max(1, len(first))), np.float32(-0.5 / max(1, len(second)))
     for t in range(1, EPOCHS + 1):
-        pull = weight * y * (y * (x @ w + b) < 1)
+        pull, push = own * (first @ w + b < 1), other * (second @ w + b > -1)
         rate = 20.0 / (1 + 0.05 * t)
-        w = np.float32(1 - rate * PENALTY) * w + np.float32(rate) * (pull @ x)
-        b += 0.1 * rate * float(pull.sum())
+        w = np.float32(1 - rate * PENALTY) * w + np.float32(rate) * (pull @ first + push @ second)
+        b += 0.1 * rate * float(pull.sum() + push.sum())
         if 2 * t > EPOCHS:
             mean_w, mean_b = mean_w + w, mean_b + b
     return mean_w / (EPOCHS - EPOCHS // 2), mean_b / (EPOCHS - EPOCHS // 2)
 
 
 class OneVersusOne:
-    """Votes of a machine for each pair of classes; the margin of the winner's closest duel makes the confidence."""
+    """Votes of a machine for each pair of classes; the margin of the winner's closest duel makes the confidence.
+
+    The rows of a class follow each other, so that machines are fitted on views of ``x``.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.classes = sorted(set(y.tolist()))
+        self.classes, starts = ([], []) if not len(y) else (part.tolist() for part in np.unique(y, return_index=True))
+        stops = {a: b for a, b in zip(sorted(starts), [*sorted(starts)[1:], len(y)])}
+        runs = [x[a : stops[a]] for a in starts]
         self.pairs = list(combinations(range(len(self.classes)), 2))
-        fits = []
-        for i, j in self.pairs:
-            pick = np.isin(y, [self.classes[i], self.classes[j]])
-            fits.append(fit_svm(x[pick], y[pick] == self.classes[i]))
+        fits = [fit_svm(runs[i], runs[j]) for i, j in self.pairs]
         self.w = np.array([w for w, _ in fits], dtype=np.float32).reshape(len(fits), x.shape[1])
         self.b = np.array([b for _, b in fits], dtype=np.float32)
 
@@ -124,13 +125,21 @@ class OneVersusOne:
         return best, np.maximum(0.5, 1 / (1 + np.exp(-2 * np.minimum(margin, 50))))
 
 
+def by_family(lang: str) -> tuple[str, str]:
+    return FAMILY_OF.get(lang, lang), lang
+
+
 class LanguageModel:
-    """The family machines and, for each family, its language machines."""
+    """The family machines and, for each family, its language machines; rows are in the order of ``by_family``."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
-        family = np.array([FAMILY_OF.get(v, v) for v in langs.tolist()])
+        family = np.array([by_family(v)[0] for v in langs.tolist()], dtype=object)
         self.families = OneVersusOne(x, family)
-        self.within = {f: OneVersusOne(x[family == f], langs[family == f]) for f in self.families.classes}
+        self.within = {}
+        for f in self.families.classes:
+            at = np.flatnonzero(family == f)
+            own = slice(at[0], at[-1] + 1)
+            self.within[f] = OneVersusOne(x[own], langs[own])
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -178,12 +187,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     drawn = arrow_rows(rows).where(draw < rate[F.col("lang")]).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
     with trimmed():
-        drawn.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-        langs = np.array([r["lang"] for r in drawn], dtype=object)
+        drawn.sort(key=lambda r: (by_family(r["lang"]), bytes(r["x"])), reverse=True)
+        langs = np.array([r["lang"] for r in reversed(drawn)], dtype=object)
         x = np.empty((len(drawn), DIMS), dtype=np.float32)
-        for i, r in enumerate(drawn):
-            x[i] = np.frombuffer(r["x"], np.float16)
-        del drawn
+        for i in range(len(x)):
+            x[i] = np.frombuffer(drawn.pop()["x"], np.float16)  # each row goes when it is copied
         return LanguageModel(x, langs)
 
 

@@ -149,10 +149,9 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            stated = json.load(f)
-        splits = ((stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern") or {}
-        self.by_word = splits.get("Regex") == _KNOWN_SPLIT and (stated.get("model") or {}).get("end_of_word_suffix") == "</w>"
+        stated = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}  # without reading the vocabulary again
+        splits = (stated.get("pretokenizers") or [{}])[0].get("pattern") or {}
+        self.by_word = splits.get("Regex") == _KNOWN_SPLIT and getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True

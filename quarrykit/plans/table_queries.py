@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import broadcast_if_small, fold_of, table
+from ..core import broadcast_if_small, fold_of, settled, table
 from ..functions import hypothesis
-from ..functions.order import ecdf
+from ..functions.order import ecdf, quantiles
 from ..operators import encode, metrics, outlier, profile, resample, scale, select
 from .catalogue import register
 
@@ -406,14 +406,14 @@ def outlier_iforest(spark, sf):
 def outlier_nine(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     cols = ["p_size", "p_retailprice"]
-    flagged = df.withColumns({"iqr": outlier.iqr_mask(outlier.fit_iqr(df, cols)), "zscore": outlier.zscore_mask(outlier.fit_zscore(df, cols))})
-    for c in (0.01, 0.05, 0.10):
-        name = f"iforest_{int(c * 100):02d}"
-        flagged = outlier.iforest(flagged, ["p_partkey"], cols, c).withColumnRenamed("iforest_outlier", name).drop("iforest_score")
+    scored = settled(outlier.iforest(df, ["p_partkey"], cols, None).select(*df.columns, "iforest_score"))  # one forest; its limits differ
+    limits = quantiles(scored, {"s": F.col("iforest_score")}, [0.99, 0.95, 0.90])["s"]
+    forests = {f"iforest_{c}": F.col("iforest_score") > F.lit(limit) for c, limit in zip(("01", "05", "10"), limits)}
+    flagged = scored.withColumns({"iqr": outlier.iqr_mask(outlier.fit_iqr(df, cols)), "zscore": outlier.zscore_mask(outlier.fit_zscore(df, cols)), **forests}).drop("iforest_score")
     near = _part_z(spark, sf)
     for k in (10, 20, 50):
-        flagged = flagged.join(outlier.lof(near, "p_partkey", cols, k).select(F.col("key").alias("p_partkey"), (F.col("lof") > outlier.LOF_LIMIT).alias(f"lof_{k}")), "p_partkey", "left")
-    flagged = flagged.join(outlier.dbscan_outliers(df, "p_partkey", cols, 0.1, 6).select("p_partkey", F.col("is_outlier").alias("dbscan")), "p_partkey")
+        flagged = flagged.join(outlier.lof(near, "p_partkey", cols, k).select(F.col("key").alias("p_partkey"), (F.col("lof") > outlier.LOF_LIMIT).alias(f"lof_{k}")).hint("merge"), "p_partkey", "left")
+    flagged = flagged.join(outlier.dbscan_outliers(df, "p_partkey", cols, 0.1, 6).select("p_partkey", F.col("is_outlier").alias("dbscan")).hint("merge"), "p_partkey")
     names = [c for c in flagged.columns if c not in df.columns]
     return outlier.jaccard(flagged.na.fill(False, names), names)
 

@@ -142,6 +142,30 @@ def test_nearest_equals_brute_force(spark):
     assert [r["mate"] for r in out] == want.ravel().tolist()
 
 
+def _plain_lof(x, ids, k):
+    d = np.sqrt(np.round(((x[:, None] - x[None]) ** 2).sum(-1), 9))
+    np.fill_diagonal(d, np.inf)
+    near = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+    own = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(own, own.max(1)[near]).mean(1) + 1e-10)
+    return lrd[near].mean(1) / lrd
+
+
+@pytest.mark.parametrize("k", [3, 10])
+def test_lof_of_copies(spark, monkeypatch, k):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.integers(0, 7, (60, 2)), np.full((25, 2), 3), np.full((k, 2), 20), np.full((k + 1, 2), 30), [[3e-5, 0], [0, 0], [50, 50]]]).astype(float)
+    ids = rng.permutation(len(x)) * 3
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, x)] + [(1000, None, 1.0), (1001, float("nan"), 2.0), (1002, float("nan"), 2.0)], "k long, a double, b double")
+    sizes, nearest = [], outlier.nearest
+    monkeypatch.setattr(outlier, "nearest", lambda points, *a, **b: sizes.append(points.count()) or nearest(points, *a, **b))
+    got = {r["key"]: r["lof"] for r in outlier.lof(df, "k", ["a", "b"], k).collect()}
+    assert set(got) == set(ids.tolist())
+    np.testing.assert_allclose([got[i] for i in ids.tolist()], _plain_lof(x, ids, k), rtol=1e-6)
+    assert sizes == [len(np.unique(x, axis=0))]
+    assert outlier.lof(df.where("k = 1000 or k = 0"), "k", ["a", "b"], k).count() == 0
+
+
 def test_detectors_find_planted_points(spark):
     _, df = _points(spark)
     lof = {r["key"] for r in outlier.lof(df, "k", ["a", "b"], 10).where(f"lof > {outlier.LOF_LIMIT}").collect()}

@@ -126,7 +126,7 @@ def dedupe(spark, sf):
 
 @register("img_dedupe_phash", _greedy_sql(_phash_sql(), 10))
 def dedupe_phash(spark, sf):
-    return images.greedy_duplicates(images.hamming_pairs(images.phash(bytes_of(spark, sf)), "vec_id", "phash", 10))
+    return images.hash_duplicates(images.phash(bytes_of(spark, sf)), "vec_id", "phash", 10)
 
 
 @register("img_phash", f"WITH {_phash_sql()} SELECT vec_id, CASE WHEN h >= 9223372036854775808 THEN (h::hugeint - 18446744073709551616)::bigint ELSE h::bigint END AS phash FROM hashed")

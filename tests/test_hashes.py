@@ -51,3 +51,22 @@ def test_greedy_removal_of_a_long_chain_and_of_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
     assert {tuple(r) for r in images.greedy_duplicates(chain).collect()} == {(1, 0), (3, 2), (5, 4), (7, 6), (9, 8)}
     assert images.greedy_duplicates(chain.where("a > 99")).count() == 0
+
+
+def test_copies_of_a_hash_are_not_paired(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    own = rng.integers(0, 1 << 20, 60) << 40
+    rows = [(int(i), int(h)) for i, h in zip(rng.permutation(1500) * 2, np.concatenate([np.full(700, own[0]), own[rng.integers(0, 60, 800)]]))]
+    pairs, greedy = [], images.greedy_duplicates
+    monkeypatch.setattr(images, "greedy_duplicates", lambda p: pairs.append(p.count()) or greedy(p))
+    df = spark.createDataFrame([*rows, (1, None)], "k long, h long")
+    got = {r["key"]: r["kept_by"] for r in images.hash_duplicates(df, "k", "h", 6).collect()}
+    want, kept = {}, []
+    for k, h in sorted(rows):
+        near = [a for a, g in kept if (g ^ h).bit_count() <= 6]
+        if near:
+            want[k] = min(near)
+        else:
+            kept.append((k, h))
+    assert got == want and len(kept) > 1
+    assert pairs[0] <= 60 * 59 // 2

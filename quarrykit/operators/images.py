@@ -12,8 +12,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import SEED, hash_rank, settled
 from ..functions import rasters
@@ -226,14 +228,31 @@ def _boxed(xs) -> pd.DataFrame:
     return pd.DataFrame([(x.shape[0], x.shape[1], 1 if x.ndim == 2 else x.shape[2], np.asarray(x, dtype=float).ravel()) for x in xs], columns=_RASTER)
 
 
-def apply_raster(df: DataFrame, f, name: str = "raster") -> DataFrame:
-    """Replaces the raster columns by f(raster)."""
+#: Values of made rasters that one Arrow batch holds, or one raster.
+BATCH_VALUES = 1 << 18
 
-    @F.pandas_udf(_OUT)
-    def run(h: pd.Series, w: pd.Series, c: pd.Series, px: pd.Series) -> pd.DataFrame:
-        return _boxed(f(x) for x in _shaped(h, w, c, px))
 
-    return df.withColumn("_r", run(*_RASTER)).withColumns({k: F.col(f"_r.{k}") for k in _RASTER}).drop("_r")
+def apply_raster(df: DataFrame, f, name: str = "raster") -> DataFrame:
+    """Replaces the raster columns by f(raster), in batches of at most ``BATCH_VALUES`` made values, as rasters may grow."""
+    made = T._parse_datatype_string(_OUT)
+    schema = T.StructType([made[x.name] if x.name in _RASTER else x for x in df.schema])
+
+    def run(batches):
+        for batch in batches:
+            at = {c: batch.schema.get_field_index(c) for c in _RASTER}
+            rows = zip(*(batch.column(at[c]).to_pylist() for c in _RASTER[:3]), batch.column(at["pixels"]))
+            first, xs, held = 0, [], 0
+            for i, (h, w, c, px) in enumerate(rows):
+                xs.append(f(_shape((h, w, c, px.values.to_numpy(zero_copy_only=False)))))
+                held += xs[-1].size
+                if held >= BATCH_VALUES or i == batch.num_rows - 1:
+                    part = batch.slice(first, len(xs)).columns
+                    for k, one in zip(_RASTER, zip(*_boxed(xs).itertuples(index=False))):
+                        part[at[k]] = pa.array(one, pa.list_(pa.float64()) if k == "pixels" else pa.int32())
+                    yield pa.RecordBatch.from_arrays(part, batch.schema.names)
+                    first, xs, held = i + 1, [], 0
+
+    return df.mapInArrow(run, schema)
 
 
 def resize(df: DataFrame, size: int) -> DataFrame:
@@ -400,18 +419,21 @@ def resize_ablation(df: DataFrame, key: str, label: str, sizes: tuple[int, ...]
     from ..core import stratified_folds
     from .metrics import classification_scores
 
+    # folds are dealt before rasters grow, and no grown raster is shuffled
+    data = settled(stratified_folds(df.select(key, F.col(label).cast("double").alias("label"), *_RASTER), "label", folds, [key], seed))
+
+    def grown(part: Column, size: int) -> DataFrame:
+        return resize(data.where(part).select("label", *_RASTER), size).select("label", array_to_vector(F.transform("pixels", lambda v: v / 255)).alias("features"))
+
     rows = []
     for size in sizes:
         began = time.monotonic()
         q = quality(df, size).agg(F.avg("psnr"), F.avg("ssim")).first()
-        small = resize(df, size).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform("pixels", lambda v: v / 255)).alias("features"))
-        data = stratified_folds(small, "label", folds, [key], seed).cache()
         scores = []
         for i in range(folds):
-            model = LogisticRegression(maxIter=iterations, regParam=0.0001).fit(data.where(F.col("fold") != i))
-            s = classification_scores(model.transform(data.where(F.col("fold") == i)), "label", "prediction").first()
+            model = LogisticRegression(maxIter=iterations, regParam=0.0001).fit(grown(F.col("fold") != i, size))
+            s = classification_scores(model.transform(grown(F.col("fold") == i, size)), "label", "prediction").first()
             scores.append([s[k] for k in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
-        data.unpersist()
         rows.append((size, q[0], q[1], *(float(v) for v in np.mean(scores, axis=0)), time.monotonic() - began))
     return df.sparkSession.createDataFrame(rows, "size int, psnr double, ssim double, accuracy double, macro_precision double, macro_recall double, macro_f1 double, seconds double")
 

@@ -43,3 +43,19 @@ def test_color_scores_cover_all_spaces(spark):
     out = images.color_space_scores(_rasters(spark, 3, (70, 70)), "k", "y").collect()  # more rows than components
     assert [r["space"] for r in out] == ["RGB", "HSV", "LAB", "Grayscale"]
     assert all(r["weighted_f1"] > 0.9 for r in out if r["space"] != "HSV")
+
+
+def test_grown_rasters_come_in_bounded_batches(spark, monkeypatch):
+    boxed = images._boxed
+    acc = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(images, "BATCH_VALUES", 4096)
+    monkeypatch.setattr(images, "_boxed", lambda xs: acc.add(1) or boxed(xs))
+    rows = [(i, None if i == 3 else f"n{i}", 2, 2, 1, [float(i), 1.0, 2.0, 3.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "k long, name string, height int, width int, channels int, pixels array<double>").coalesce(1)
+    out = images.resize(df, 64)
+    assert out.columns == df.columns
+    got = sorted(out.collect())
+    assert acc.value == 10
+    for r, (k, name, *shape, px) in zip(got, rows):
+        assert (r["k"], r["name"], r["height"], r["width"], r["channels"]) == (k, name, 64, 64, 1)
+        np.testing.assert_allclose(r["pixels"], rasters.resize(np.reshape(px, (2, 2)), 64, 64).ravel())

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,7 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -98,6 +100,22 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def trim_driver(spark: SparkSession) -> str:
+    """What the driver's JVM freed outside its heap (plans' code, threads, compilers) goes back to the system; its answer, empty from a JVM without that command."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        kinds = new_array(jvm.java.lang.Class, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.java.lang.Class.forName(name)
+        values = new_array(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)  # the server's own class is closed
+        return str(invoke.invoke(server, values))
+    except Py4JError:
+        return ""
+
+
 @contextmanager
 def trimmed():
     """Around a task's batches in a Python worker, as workers outlive tasks."""

@@ -11,9 +11,11 @@ from .common import discard, durable
 HUB, MOST_HUBS = 100_000, 50_000
 
 
-def least_neighbour(rows: DataFrame) -> DataFrame:
-    """``rows(u, v)`` with m, the smallest v of their u. Nodes of more than ``HUB`` neighbours are met by broadcast, the others by shuffle."""
+def least_neighbour(rows: DataFrame, most: int) -> DataFrame:
+    """``rows(u, v)``, at most ``most`` of a u, with m, the smallest v of their u. Nodes of more than ``HUB`` neighbours are met by broadcast, the others by shuffle."""
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if most <= HUB:  # no hubs: nothing is asked for them
+        return rows.join(least.select("u", "m"), "u")
     hubs = least.where(F.col("n") > HUB).select("u", "m").limit(MOST_HUBS + 1).collect()
     if not hubs or len(hubs) > MOST_HUBS:  # without hubs, or with so many that none holds much of the rows
         return rows.join(least.select("u", "m"), "u")
@@ -37,10 +39,10 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = least_neighbour(both, state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         large = durable(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("v"))
-        small = least_neighbour(large).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least)
+        small = least_neighbour(large, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least)
         after = durable(small.distinct(), "links")
         discard(edges, large)
         edges = after

@@ -188,6 +188,8 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs those whose full sets reach the threshold, as a written table."""
         asked = durable(pairs, "asked")
+        if asked.isEmpty():
+            return asked
         pairs = durable(self.alive(asked), "alive")
         sets = durable(self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "sets")
         threshold = self.threshold
@@ -291,7 +293,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, miss: fl
     rest = labelled(met.where("n > 2"), label, "node", "own")
     split = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
     contested = durable(rest.join(split, "key", "left_semi").select("node", "own").distinct(), "contested")
-    label = components(second.unionByName(check.links(rare_mates(check.sets(contested.select("node")), contested, percent))))
+    if not contested.isEmpty():
+        label = components(second.unionByName(check.links(rare_mates(check.sets(contested.select("node")), contested, percent))))
 
     # a component is named after the smallest id of its classes
     named = classes.select("digest", "rep", F.col("node.row").alias("node")).join(label, "node", "left")
